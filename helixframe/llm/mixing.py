@@ -10,7 +10,7 @@ of each block, two documents at most, flies on in blocks of the next level, unti
 source is left. Then the landing chooses among the roundings of the last documents, a dozen at most,
 that with the least error in words, then in documents.
 
-Documents enter a block by falling size, so that what lands last is small. Blocks and coins come
+Documents enter a block by falling size, so that small ones are left to even out large ones. Blocks and coins come
 from hashes of the documents and SEED: the same rows give the same mix in any partitioning.
 
 Defined results: null text has size 0; a source without words has target 0 and none of it is
@@ -34,7 +34,7 @@ SHARE_PERCENT = 150
 MOST_COPIES = 2
 BLOCK_ROWS = 4096
 SEED = 7
-#: Documents, the smallest of a source, that wait for the landing, besides two at most left by the flight.
+#: Documents of a source, of sizes from its upper quarter down, that wait for the landing, besides two at most left by the flight.
 LANDING = 10
 _EPS = 1e-9
 
@@ -74,8 +74,9 @@ def flight(size: np.ndarray, pi: np.ndarray, rng: random.Random, last: bool) ->
     pi, size = pi.tolist(), size.tolist()
     air: list[int] = []
     flying = [i for i, p in enumerate(pi) if _EPS < p < 1 - _EPS]
-    ground = flying[-LANDING:] if last else []
-    rest = iter(flying[: len(flying) - len(ground)])
+    ground = sorted({flying[int(x)] for x in np.linspace(len(flying) // 4, len(flying) - 1, min(LANDING, len(flying)))}) if last and flying else []
+    kept = set(ground)
+    rest = iter([i for i in flying if i not in kept])
     while True:
         while len(air) < 3 and (i := next(rest, None)) is not None:
             air.append(i)
