@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules
+from . import fingerprints, licenses, mixing, packing, pii, quality_rules, url_filters
 
 QUERIES = {
+    "op1_license_scans": licenses.op1_license_scans,
     "op5_packing": packing.op5_packing,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_mixing": mixing.op7_mixing,
+    "op8_pii": pii.op8_pii,
+    "op9_url_filters": url_filters.op9_url_filters,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scans": licenses.ORACLE,
+    "op8_pii": pii.ORACLE,
+    "op9_url_filters": url_filters.ORACLE,
+}
