@@ -32,7 +32,7 @@ from . import common
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_COPIES = 2
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 512
 SEED = 7
 #: Documents of a source, of sizes from its upper quarter down, that wait for the landing, besides two at most left by the flight.
 LANDING = 10
@@ -44,13 +44,13 @@ def size_of(text: str = "text"):
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target: one row for each source of sizes(source, size).
+    """source, source_size, source_rows, target: one row for each source of sizes(source, size).
 
     The capped shares are min(cap, weight * level) for the one level at which they add up: the
     sources, in the order of cap / weight at which they fill, are full up to some point. All of it
     is on the table of sources, which has one row for each.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("source_rows"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("_at") % len(WEIGHTS) + 1).cast("int"))
     one = F.lit(0)  # one window over the sources
     totals = totals.withColumn("_at", F.row_number().over(Window.partitionBy(one).orderBy(F.col("source").cast("binary").asc_nulls_last())) - 1)
@@ -66,7 +66,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     totals = totals.withColumn("_first", F.min(F.when(F.col("_open"), F.struct(F.col("_cap") / F.col("_weight"), F.col("_at"))) ).over(Window.partitionBy(one)))
     opened = F.col("_first").isNotNull() & (F.struct(F.col("_cap") / F.col("_weight"), F.col("_at")) >= F.col("_first"))
     first_level = F.min_by("_level", F.when(F.col("_open"), F.struct(F.col("_cap") / F.col("_weight"), F.col("_at")))).over(Window.partitionBy(one))
-    return totals.withColumn("target", F.when(opened, F.col("_weight") * first_level).otherwise(F.col("_cap"))).select("source", "source_size", "target")
+    return totals.withColumn("target", F.when(opened, F.col("_weight") * first_level).otherwise(F.col("_cap"))).select("source", "source_size", "source_rows", "target")
 
 
 def flight(size: np.ndarray, pi: np.ndarray, rng: random.Random, last: bool) -> np.ndarray:
@@ -121,35 +121,32 @@ def mix(docs: DataFrame, carry: list[str] | None = None, block_rows: int = BLOCK
     often = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("_often", often).withColumn("_whole", F.floor("_often").cast("long"))
     rows = rows.withColumn("_pi", F.col("_often") - F.col("_whole"))
-    # a block is some of one source's rows; its number only depends on the row and on how many rows there are
+    # a block is some of one source's rows; which one only depends on the row and on how many rows the source has
     rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), *cols, "size"))
-    fan = max(1, -(-rows.count() // block_rows))
-    rows = rows.select(*cols, "size", "source_size", "target", "_whole", "_pi", "_key")
-    schema = rows.schema
-
-    def level(frame: DataFrame, fan: int, depth: int) -> DataFrame:
-        last = fan == 1
-        block = F.pmod(F.xxhash64(F.lit(depth), F.col("_key")), F.lit(fan))
+    air = rows.select(*cols, "size", "source_size", "target", "_whole", "_pi", "_key", F.ceil(F.col("source_rows") / block_rows).cast("long").alias("_fan"))
+    most = -(-(goal.agg(F.max("source_rows")).head()[0] or 1) // block_rows)  # the largest _fan
+    schema = air.schema
 
+    def level(frame: DataFrame, depth: int) -> DataFrame:
         def fly(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["size", "_key"], ascending=[False, True], kind="stable").reset_index(drop=True)
             rng = random.Random(f"{seed}:{depth}:{len(pdf)}:{int(pdf['_key'].iloc[0])}")
-            pdf["_pi"] = flight(pdf["size"].to_numpy(float), pdf["_pi"].to_numpy(float), rng, last)
+            pdf["_pi"] = flight(pdf["size"].to_numpy(float), pdf["_pi"].to_numpy(float), rng, int(pdf["_fan"].iloc[0]) == 1)
             return pdf.drop(columns=["_block"])
 
-        grouped = frame.withColumn("_block", block).groupBy("source", "_block")
-        return grouped.applyInPandas(fly, schema)
+        block = F.pmod(F.xxhash64(F.lit(depth), F.col("_key")), F.col("_fan"))
+        return frame.withColumn("_block", block).groupBy("source", "_block").applyInPandas(fly, schema)
 
     done, depth = None, 0
-    air = rows
     while True:
-        moved = common.cut(level(air, fan, depth))
+        moved = common.cut(level(air, depth))
         landed = moved.where("_pi = 0 or _pi = 1")
         done = landed if done is None else done.unionByName(landed)
-        if fan == 1:
+        if most == 1:
             break
-        air = moved.where("_pi > 0 and _pi < 1")
-        fan = max(1, -(-fan * 2 // block_rows)) if fan > 1 else 1
+        # two at most are left of each block
+        air = moved.where("_pi > 0 and _pi < 1").withColumn("_fan", F.ceil(F.col("_fan") * 2 / block_rows).cast("long"))
+        most = -(-most * 2 // block_rows)
         depth += 1
     taken = ((F.col("_whole") + F.col("_pi").cast("long")) * F.col("size")).alias("taken")
     return done.select(*cols, "size", "source_size", "target", taken, (F.col("_whole") + F.col("_pi").cast("long")).alias("copies"))
