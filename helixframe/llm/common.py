@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import send_package
 
@@ -32,9 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fields(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; a table without one of them is an error of the caller."""
-    return df.select(*names)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for tables in the one that spark.checkpoint.dir names."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-")
+    return f"{top.rstrip('/')}/helixframe-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def masked(docs: DataFrame, *kept: str) -> tuple[DataFrame, list[Column]]:
+    """docs with every column but `kept` under a name that nothing else here has, and what to select to undo it."""
+    names = {c: c if c in kept else f"_masked_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
 
 def rows_per_task(n_rows: int, least: int = 1) -> int:

@@ -47,6 +47,48 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"!?~^=_\\{}[]")] = True
 
 
+def repeated(block: common.Block, words: np.ndarray) -> np.ndarray:
+    """Of each word, whether it is in a window of WINDOW words found twice or more in its text."""
+    if len(words) < WINDOW:
+        return np.zeros(len(words), bool)
+    hashes = common.window_hash(words, WINDOW)
+    at = np.flatnonzero(block.doc[: len(hashes)] == block.doc[WINDOW - 1 :])
+    keys = hashes[at] ^ common.mix(block.doc[at].astype(np.uint64) + np.uint64(1))
+    order = np.argsort(keys)
+    ranked = keys[order]
+    same = ranked[1:] == ranked[:-1]
+    twice = np.zeros(len(keys), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    edge = np.zeros(len(words) + 1, np.int64)
+    hit = at[twice]
+    edge[hit] += 1
+    edge[hit + WINDOW] -= 1
+    return np.cumsum(edge)[:-1] > 0
+
+
+def lines(block: common.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of the lines with a word."""
+    data = block.data
+    cuts = np.union1d(np.flatnonzero(data == 10) + 1, block.offsets[:-1])
+    cuts = cuts[cuts < len(data)]
+    stops = np.append(cuts[1:], len(data)) if len(cuts) else cuts
+    if len(cuts):
+        stops = stops - ((stops > cuts) & (data[stops - 1] == 10))
+        filled = np.searchsorted(block.starts, stops) > np.searchsorted(block.starts, cuts)
+        cuts, stops = cuts[filled], stops[filled]
+    return cuts, stops, np.searchsorted(block.offsets, cuts, "right") - 1
+
+
+def seen_before(block: common.Block, cuts: np.ndarray, stops: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Of each line, whether it equals an earlier one of its text."""
+    keys = block.span_hash(cuts, stops) ^ common.mix(owner.astype(np.uint64) + np.uint64(1))
+    _, first = np.unique(keys, return_index=True)
+    again = np.ones(len(cuts), bool)
+    again[first] = False
+    return again
+
+
 def text_counts(block: common.Block) -> dict[str, np.ndarray]:
     """The counts of each text in a block."""
     data, n_docs = block.data, len(block.offsets) - 1
@@ -61,51 +103,22 @@ def text_counts(block: common.Block) -> dict[str, np.ndarray]:
         capital[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     out["n_capitals"] = block.count(capital)
 
-    # windows of words found twice or more in a text
-    repeat = np.zeros(n_docs, np.int64)
-    if len(words) >= WINDOW:
-        hashes = common.window_hash(words, WINDOW)
-        inside = block.doc[: len(hashes)] == block.doc[WINDOW - 1 :]
-        at = np.flatnonzero(inside)
-        keys = hashes[at] ^ common.mix(block.doc[at].astype(np.uint64) + np.uint64(1))
-        order = np.argsort(keys)
-        ranked = keys[order]
-        same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(keys), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        edge = np.zeros(len(words) + 1, np.int64)
-        hit = at[twice]
-        edge[hit] += 1
-        edge[hit + WINDOW] -= 1
-        covered = np.cumsum(edge)[:-1] > 0
-        repeat = np.bincount(block.doc[covered], minlength=n_docs)
-    out["n_repeat_words"] = repeat
+    out["n_repeat_words"] = np.bincount(block.doc[repeated(block, words)], minlength=n_docs)
 
     again = np.zeros(len(words), bool)
     if len(words) > 1:
         again[1:] = (words[1:] == words[:-1]) & (block.doc[1:] == block.doc[:-1])
     out["n_same_words"] = np.bincount(block.doc[again], minlength=n_docs)
 
-    # lines with a word, and those equal to an earlier one
-    breaks = np.flatnonzero(data == 10)
-    cuts = np.union1d(breaks + 1, block.offsets[:-1])
-    stops = np.append(cuts[1:], len(data))
-    if len(cuts):
-        stops = stops - ((stops > cuts) & (data[np.maximum(stops, 1) - 1] == 10))
-        filled = np.searchsorted(block.starts, stops) > np.searchsorted(block.starts, cuts)
-        cuts, stops = cuts[filled], stops[filled]
-    owner = np.searchsorted(block.offsets, cuts, "right") - 1
-    keys = block.span_hash(cuts, stops) ^ common.mix(owner.astype(np.uint64) + np.uint64(1))
-    _, first = np.unique(keys, return_index=True)
+    cuts, stops, owner = lines(block)
     out["n_lines"] = np.bincount(owner, minlength=n_docs)
-    out["n_dup_lines"] = out["n_lines"] - np.bincount(owner[first], minlength=n_docs)
+    out["n_dup_lines"] = np.bincount(owner[seen_before(block, cuts, stops, owner)], minlength=n_docs)
     return out
 
 
 def count_texts(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The columns in carry, and the counts of text."""
-    frame = docs.select(*carry, "text")
+    frame = docs.select(*dict.fromkeys([*carry, "text"]))
     schema = frame.select(*carry).schema
     for name in COUNTS:
         schema = schema.add(name, "long")
@@ -161,19 +174,31 @@ def thresholds(counts: DataFrame) -> DataFrame:
     return joined.select("a.lang", "a.source", *[pick(f"limit_{r}").alias(f"limit_{r}") for r in RULES])
 
 
-def quality_rules(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """carry (by default doc_id, lang, source), the counts, base_failed, the rule that rejects (or null), and kept."""
-    carry = [*dict.fromkeys([*(carry or ["doc_id"]), "lang", "source"])]
-    counts = common.cut(count_texts(docs, carry))
-    limit = common.cut(thresholds(counts))
+def _judged(counts: DataFrame, limit: DataFrame) -> DataFrame:
+    """counts with base_failed, rejected_by and kept."""
     if limit.count() <= 20_000:  # a row for each language and source: at most some 2 MB
         limit = F.broadcast(limit)
     limit = limit.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    judged = counts.join(limit, on, "left")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     hit = F.coalesce(*[F.when(rate(r) > F.col(f"limit_{r}"), F.lit(r)) for r in RULES])
-    return judged.select(*carry, *COUNTS, failed.alias("base_failed"), hit.alias("rejected_by"), (~failed & hit.isNull()).alias("kept"))
+    return counts.join(limit, on, "left").select(*counts.columns, failed.alias("base_failed"), hit.alias("rejected_by"), (~failed & hit.isNull()).alias("kept"))
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, the counts, base_failed, the rule that rejects (or null), and kept."""
+    counts = common.cut(count_texts(docs, ["doc_id", "lang", "source"]))
+    return _judged(counts, common.cut(thresholds(counts)))
+
+
+def filter_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep.
+
+    The texts are counted twice, for the thresholds and for the filter, rather than stored or shuffled.
+    """
+    plain, back = common.masked(docs, "lang", "source", "text")
+    limit = common.cut(thresholds(count_texts(plain, ["lang", "source"])))
+    return _judged(count_texts(plain, plain.columns), limit).where("kept").select(*back)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
