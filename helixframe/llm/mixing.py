@@ -152,5 +152,20 @@ def mix(docs: DataFrame, carry: list[str] | None = None, block_rows: int = BLOCK
     return done.select(*cols, "size", "source_size", "target", taken, (F.col("_whole") + F.col("_pi").cast("long")).alias("copies"))
 
 
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it, which may be never."""
+    plain, back = common.masked(docs, "doc_id", "source", "text")
+    kinds = {c: plain.schema[c].dataType.simpleString() for c in plain.columns}
+    keyed = plain.withColumn("_row", F.xxhash64(*[F.col(c) for c in plain.columns if "map" not in kinds[c]]))
+    mixed = mix(keyed.select("doc_id", "_row", "source", "text"), ["doc_id", "_row"])
+    total = mixed.groupBy("doc_id", "_row").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).withColumnsRenamed({"doc_id": "_id", "_row": "_of"})
+    met = keyed.join(total, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")))
+    # equal rows share what is taken of them
+    at = F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy(F.lit(0)))
+    often = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_at") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    often = met.withColumn("_at", at).withColumn("_often", often.cast("int")).where("_often > 0")
+    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_often")))).select(*back)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -121,7 +121,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     A null text stays null.
     """
-    carry = docs.columns
+    plain, back = common.masked(docs, "text", "n_chars")
+    carry = plain.columns
     ordered = "array_sort(concat(base, extra), (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 WHEN a.end > b.end THEN -1 WHEN a.end < b.end THEN 1 ELSE 0 END)"
     text = (
         f"aggregate({ordered}, named_struct('at', 0, 'out', CAST(array() AS array<string>)), "
@@ -129,9 +130,9 @@ def redact(docs: DataFrame) -> DataFrame:
         "ELSE named_struct('at', greatest(s.at, x.end), 'out', s.out) END, "
         "s -> concat(array_join(s.out, ''), substr(_t, s.at + 1)))"
     )
-    found = find_spans(docs, carry).selectExpr(*carry, "_t", f"CASE WHEN size(base) + size(extra) = 0 THEN text ELSE {text} END AS _clean")
+    found = find_spans(plain, carry).selectExpr(*carry, "_t", f"CASE WHEN size(base) + size(extra) = 0 THEN text ELSE {text} END AS _clean")
     put = {"text": "_clean AS text", "n_chars": "cast(char_length(_clean) AS bigint) AS n_chars"}
-    return found.selectExpr(*[put.get(c, f"`{c}`") for c in carry])
+    return found.selectExpr(*[put.get(c, c) for c in carry]).select(*back)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

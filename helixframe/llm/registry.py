@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixing, packing, pii, quality_rules, url_filters
+from . import fingerprints, html_text, licenses, line_quality, mixing, neardup, packing, pii, quality_rules, url_filters
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
+    "op2_html_extraction": html_text.op2_html_extraction,
+    "op3_line_quality": line_quality.op3_line_quality,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_packing": packing.op5_packing,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_mixing": mixing.op7_mixing,
