@@ -1,4 +1,4 @@
-"""Sending this package to the Python workers."""
+"""Sending this package to the Python workers, and checkpoints that outlive an executor."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -25,3 +25,11 @@ def send_package(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(to)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the folder that spark.checkpoint.dir names, and cut its lineage."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
+    return df.checkpoint(eager=True)
