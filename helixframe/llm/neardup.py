@@ -11,11 +11,11 @@ Candidates are verified: the Jaccard similarity of the sets of shingles is a bou
 wrong ones miss, then a banded alignment of the words gives the edit distance. A link needs both
 similarities to reach SIMILARITY.
 
-Texts of the same words are one node from the start. Nodes that share a sketch aren't all paired. A
-hub is compared with the others first; where that joins them, nothing is left to do, as classes are
-connected components. Further hubs are those with most links so far. Only what then still lies in
-different components of one bucket is compared pair by pair. The components are those of all links
-among candidates.
+Texts of the same words are one node from the start. Nodes that share a sketch aren't all paired. One
+of them, the hub, is compared with the others first; where that joins them, nothing is left to do, as
+classes are connected components. What then still lies in different components of one bucket is
+compared across components, with an exact filter that spares pairs that can't reach SIMILARITY. The
+components are those of all links among candidates.
 
 Defined results: null text counts as empty; texts without words are copies of each other; texts of
 fewer words than a shingle are one shingle of all their words. Class ids are the least doc_id of the
@@ -38,8 +38,10 @@ SHINGLE = 5
 SKETCHES = 24
 LEAST = 5
 SIMILARITY = 0.8
-#: Rounds with one hub per bucket before the rest is compared pair by pair.
-HUB_ROUNDS = 3
+#: Shingles of a prefix up to which it is carried along as a list.
+LISTED = 64
+#: Edits that are looked for without the whole band first.
+FEW = 40
 
 _rng = np.random.Generator(np.random.PCG64(4))
 _MUL = _rng.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -127,8 +129,8 @@ def word_arrays(docs: DataFrame) -> DataFrame:
     return docs.select(node_id(), F.col("text").cast("string")).mapInArrow(run, f"node {kind}, words binary")
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two arrays, or most + 1 if it is larger: furthest-reaching points in a band of diagonals."""
+def few_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of two arrays, or most + 1 if it is larger, by the furthest points that each number of edits reaches."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
@@ -156,6 +158,48 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
+def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """The same by rows of the alignment's matrix, of which only the band of `most` to each side is made."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    width = 2 * most + 1
+    step = np.arange(width)
+    padded = np.full(m + 2 * width, -1, np.int64)  # b stands at most, what lies outside matches nothing
+    padded[most + 1 : most + 1 + m] = b.view(np.int64) if b.dtype == np.uint64 else b
+    row = np.where(step >= most, step - most, most + 1)  # cell c of row i is column i - most + c
+    row[step - most > m] = most + 1
+    for i, x in enumerate(a.view(np.int64) if a.dtype == np.uint64 else a, 1):
+        new = row + (padded[i : i + width] != x)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        if i <= most:
+            new[: most - i] = most + 1
+            new[most - i] = i
+        new = np.minimum.accumulate(new - step) + step
+        last = m - i + most  # beyond it there is no column
+        if last + 1 < width:
+            new[max(0, last + 1) :] = most + 1
+        if new.min() > most:
+            return most + 1
+        row = np.minimum(new, most + 1)
+    return int(row[m - n + most])
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of two arrays, or most + 1 if it is larger; what they begin and end with in common is left out."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    head = int(apart[0]) if len(apart) else n
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(apart[0]) if len(apart) else n
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    few = min(most, FEW)
+    got = few_edits(a, b, few)
+    return got if got <= few or few == most else banded_distance(a, b, most)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether the shingles' Jaccard similarity and the words' edit similarity reach it."""
     x, y = np.unique(shingles(a)), np.unique(shingles(b))
@@ -185,9 +229,8 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for the nodes of edges(a, b): least labels spread over links, then labels of labels."""
     both = common.cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node")
+    labels = common.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
     while True:
-        labels = common.cut(labels)
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("_near"))
         least = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_was"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("_up"))
@@ -197,59 +240,94 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def labelled_by(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """nodes(node, ..) with component: that of labels, or the node itself."""
+    if labels is None:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(labels.withColumnRenamed("component", "_component"), "node", "left").withColumn("component", F.coalesce("_component", "node")).drop("_component")
+
+
+def shingle_rows(words: DataFrame) -> DataFrame:
+    """node, shingle: a row for each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.unique(shingles(np.frombuffer(batch.column(1)[i].as_py(), np.uint32).astype(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(own)), pa.array(own)], names=["node", "shingle"])
+
+    kind = words.schema["node"].dataType.simpleString()
+    return words.select("node", "words").mapInArrow(run, f"node {kind}, shingle long")
+
+
+def across(words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """a, b: pairs of words(node, component, words) of different components that may be so similar.
+
+    Two sets of so high a similarity share one of the rarest (1 - least) of either's shingles, whatever the
+    order of rarity is, as long as it is one for all (the prefix filter). Which are rare is counted
+    among these nodes. A shingle that only one component has joins nothing.
+    """
+    rows = common.cut(shingle_rows(words))
+    rare = rows.groupBy("shingle").agg(F.count("*").alias("_df"))
+    by_rarity = Window.partitionBy("node").orderBy("_df", "shingle")
+    ranked = rows.join(rare, "shingle").withColumn("_at", F.row_number().over(by_rarity)).withColumn("size", F.count("*").over(Window.partitionBy("node")))
+    size, at = F.col("size"), F.col("_at")
+    first = lambda share: at <= size - F.ceil(size * share - 1e-9) + 1
+    # of two sets, the larger one's rarest shingles meet the even rarer ones of the lesser, which must share more of its own
+    prefix = ranked.where(first(least) & (F.col("_df") > 1)).select("node", "shingle", "size", first(2 * least / (1 + least)).alias("inner"), at.alias("at"))
+    prefix = common.cut(prefix.join(words.select("node", "component"), "node"))
+    mixed = prefix.groupBy("shingle").agg(F.min("component").alias("_c0"), F.max("component").alias("_c1")).where("_c0 < _c1")
+    prefix = common.cut(prefix.join(mixed.select("shingle"), "shingle"))
+    # sets of few such shingles carry them along, so that a join can tell all that two have in common
+    listed = prefix.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "shingle"))).alias("_l")).where(F.size("_l") <= LISTED)
+    prefix = prefix.join(listed.select("node", F.col("_l.shingle").alias("list"), F.col("_l.at").alias("places")), "node", "left")
+    one, two = prefix.alias("x"), prefix.where("inner").alias("y")
+    order = lambda p: F.struct(f"{p}.size", f"{p}.node")
+    need = F.ceil((F.col("x.size") + F.col("y.size")) * least / (1 + least) - 1e-9)
+    # what two sets have in common is what they have up to a shared shingle, and what can follow there
+    here = F.least("x.at", "y.at") + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    both = F.array_intersect("x.list", "y.list")
+    place = lambda p: F.element_at(F.col(f"{p}.places"), F.array_position(F.col(f"{p}.list"), F.element_at(both, -1)).cast("int"))
+    exact = (F.element_at(both, 1) == F.col("shingle")) & (F.size(both) + F.least(F.col("x.size") - place("x"), F.col("y.size") - place("y")) >= need)
+    told = F.col("x.list").isNotNull() & F.col("y.list").isNotNull()
+    alike = (F.col("y.size") >= F.col("x.size") * least) & (order("y") < order("x")) & (F.col("x.component") != F.col("y.component")) & (here >= need) & F.when(told, exact).otherwise(F.lit(True))
+    met = one.join(two.withColumnRenamed("shingle", "_s"), F.col("shingle") == F.col("_s")).where(alike)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: one row for each row of docs."""
+    docs = docs.select("doc_id", "text")
     sketched = common.cut(sketches(docs))
     texts = common.cut(sketched.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch")))
     bands = texts.select("node", F.posexplode("sketch").alias("band", "value"))
-    shared = bands.groupBy("band", "value").agg(F.count("*").alias("_n")).where("_n > 1")
-    # bucket is a number of its own for each pair of band and value
-    members = common.cut(bands.join(shared, ["band", "value"]).select("node", "band", "value").distinct())
+    sizes = bands.groupBy("band", "value").agg(F.count("*").alias("_n")).where("_n > 1")
+    members = common.cut(bands.join(sizes, ["band", "value"]))
+    # the hub of a bucket is its node that meets most others in all buckets: the middle of a group of edited copies
+    met = members.groupBy("node").agg(F.sum("_n").alias("_met"))
+    hubs = members.join(met, "node").groupBy("band", "value").agg(F.max_by("node", F.struct("_met", "node")).alias("hub"))
+    members = common.cut(members.select("node", "band", "value").join(hubs, ["band", "value"]))
     nodes = members.select("node").distinct()
     words = common.cut(word_arrays(docs.join(nodes, node_id() == F.col("node"), "left_semi")).dropDuplicates(["node"]))
 
-    state = members.select("band", "value", "node", F.col("node").alias("component"), F.lit(0).cast("long").alias("links"), F.lit(False).alias("used"))
-    tried, edges = None, None
-    for r in range(hub_rounds + 1):
-        bucket = Window.partitionBy("band", "value")
-        if r:
-            # only buckets with nodes of several components, two of which at least were no hubs yet
-            spread = state.groupBy("band", "value").agg(F.min("component").alias("_c0"), F.max("component").alias("_c1"), F.count(F.when(~F.col("used"), 1)).alias("_free"))
-            state = state.join(spread.where("_c0 < _c1 and _free > 1").select("band", "value"), ["band", "value"])
-        if r < hub_rounds:
-            order = F.struct(~F.col("used"), F.col("links"), F.xxhash64("node"), F.col("node"))
-            best = state.groupBy("band", "value").agg(F.max_by(F.struct("node", "component"), order).alias("_hub"))
-            state = common.cut(state.join(best, ["band", "value"]))
-            free = state.where(~F.col("used") & (F.col("component") != F.col("_hub.component")) & (F.col("node") != F.col("_hub.node")))
-            pairs = free.select(F.col("_hub.node").alias("x"), F.col("node").alias("y"))
-            state = state.withColumn("used", F.col("used") | (F.col("node") == F.col("_hub.node"))).drop("_hub")
-        else:
-            free = common.cut(state.where(~F.col("used")).select("band", "value", "node", "component"))
-            other = free.select("band", "value", F.col("node").alias("_node"), F.col("component").alias("_component"))
-            meet = free.join(other, ["band", "value"]).where((F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component")))
-            pairs = meet.select(F.col("node").alias("x"), F.col("_node").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = common.cut(pairs)
-        if not pairs.take(1):
-            break
-        found = common.cut(verified(pairs, words))
-        tried = found.select("a", "b") if tried is None else tried.union(found.select("a", "b"))
-        links = found.where("same").select("a", "b")
-        edges = links if edges is None else edges.union(links)
-        if r < hub_rounds:
-            label = components(edges)
-            degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-            now = common.cut(label.join(degree, "node").withColumnsRenamed({"component": "_component", "links": "_links"}))
-            state = state.join(now, "node", "left").select("band", "value", "node", F.coalesce("_component", "node").alias("component"), F.coalesce("_links", F.lit(0)).alias("links"), "used")
-            state = common.cut(state)
-    if edges is None:
-        texts = texts.withColumn("class_id", F.col("node"))
-    else:
-        label = components(edges)
-        texts = texts.join(label, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
-    return sketched.select("doc_id", "high", "low").join(texts.select("high", "low", "class_id"), ["high", "low"]).select("doc_id", "class_id")
+    pairs = members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    tried = common.cut(verified(pairs, words))
+    edges = tried.where("same").select("a", "b")
+    labels = common.cut(components(edges)) if edges.take(1) else None
+
+    # what is left: nodes of different components in one bucket, which need not be alike to the hub
+    placed = labelled_by(members.select("node", "band", "value"), labels)
+    apart = placed.groupBy("band", "value").agg(F.min("component").alias("_c0"), F.max("component").alias("_c1"), F.count("*").alias("_n")).where("_c0 < _c1 and _n > 2")
+    left = common.cut(placed.join(apart.select("band", "value"), ["band", "value"]).select("node", "component").distinct().join(words, "node"))
+    if left.take(1):
+        more = common.cut(across(left).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        found = common.cut(verified(more, left).where("same").select("a", "b"))
+        if found.take(1):  # links between components
+            ends = labelled_by(labelled_by(found.withColumnRenamed("a", "node"), labels).select(F.col("component").alias("a"), F.col("b").alias("node")), labels)
+            merged = components(ends.select("a", F.col("component").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_root"))
+            labels = common.cut(labelled_by(nodes, labels).join(merged, "component", "left").select("node", F.coalesce("_root", "component").alias("component")))
+    texts = labelled_by(texts.select("high", "low", "node"), labels).select("high", "low", F.col("component").alias("class_id"))
+    return sketched.select("doc_id", "high", "low").join(texts, ["high", "low"]).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
