@@ -47,6 +47,19 @@ class Maker:
     def sentences(self, least: int = 1, most: int = 5) -> str:
         return " ".join(self.some(self.r.randint(3, 14)).capitalize() + self.r.choice((".", ".", ".", "?", "!")) for _ in range(self.r.randint(least, most)))
 
+    def prose(self, least: int, most: int) -> str:
+        """Sentences, or now and then a list of words, capitals, marks or repetitions, which also are main text."""
+        text, kind = self.sentences(least, most), self.r.random()
+        if kind < 0.04:
+            return text.replace(" ", " | ")
+        if kind < 0.08:
+            return " ".join(w + self.r.choice(("%%%", "***", "###", "&amp;&amp;&amp;", "$$$")) for w in text.split())
+        if kind < 0.1:
+            return text.upper().replace(" ", "!! ")
+        if kind < 0.12:
+            return " ".join(w for w in text.split()[:6] for _ in range(self.r.randint(2, 9)))
+        return text
+
     def attributes(self, kind: str, sure: float = 1.0) -> str:
         if self.r.random() > sure:
             return ""
@@ -110,7 +123,7 @@ class Maker:
 
     def text(self) -> str:
         """Main text in a paragraph, perhaps with inline markup."""
-        out = MARK + self.sentences(1, 6)
+        out = MARK + self.prose(1, 6)
         if self.r.random() < 0.2:
             words = out.split(" ")
             at = self.r.randrange(len(words))
@@ -124,7 +137,7 @@ class Maker:
             parts.append(
                 self.r.choices(
                     (
-                        f"<p>{self.text()}</p>", f"<p>{MARK}{self.some(self.r.randint(1, 3)).capitalize()}.</p>", f"<p><b>{self.text()}<br>", f"<h2>{MARK}{self.some(3)}</h2>", f"<blockquote>{self.text()}</blockquote>",
+                        f"<p{self.attributes('plain', 0.05)}>{self.text()}</p>", f"<p>{MARK}{self.some(self.r.randint(1, 3)).capitalize()}.</p>", f"<p><b>{self.text()}<br>", f"<h2>{MARK}{self.some(3)}</h2>", f"<blockquote>{self.text()}</blockquote>",
                         "<ul>" + "".join(f"<li>{MARK}{self.sentences(1, 2)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>",
                         f"<table><tr><td>{MARK}{self.some(1)}</td><td>{self.some(1)}</td></tr></table>", f"<pre>{MARK}{self.some(5)}</pre>", f"<div>{self.text()}</div>", f"<figure><figcaption>{MARK}{self.some(5)}</figcaption></figure>",
                     ),
@@ -132,10 +145,10 @@ class Maker:
                 )[0]
             )
         for make in (self.ad, self.share, self.form, self.side, self.notice):
-            if self.r.random() < 0.15:
+            if self.r.random() < 0.2:
                 parts.insert(self.r.randint(1, len(parts)), make())
-        if self.r.random() < 0.2:
-            parts.append(self.comments())
+        if self.r.random() < 0.25:
+            parts.insert(len(parts) if self.r.random() < 0.7 else self.r.randint(1, len(parts)), self.comments())
         inner = "".join(parts)
         kind = self.r.random()
         if kind < 0.5:

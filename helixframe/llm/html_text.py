@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common, html_pages
 
-PATH_BINS, WORD_BINS, FIGURES, HIDDEN = 96, 32, 8, 20
-TRAIN_PAGES, EPOCHS, BATCH, SEED = 3000, 10, 40, 11
+PATH_BINS, WORD_BINS, FIGURES, HIDDEN = 512, 32, 8, 24
+TRAIN_PAGES, EPOCHS, BATCH, SEED = 5000, 10, 40, 11
 #: Elements that stand in a line of text; every other one begins and ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -155,7 +155,7 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
         for depth, element in enumerate(path):
             tag, _, told = element.partition(" ")
             for word in (tag, *("." + w for w in re.split(r"[^a-z]+", told) if w)):
-                got[_bin(word, PATH_BINS)] = 1
+                got[_bin(word, PATH_BINS)] = got[_bin("again " + word, PATH_BINS)] = 1  # two bins, of which others seldom share both
             if depth == len(path) - 1:
                 got[_bin("last " + tag, PATH_BINS)] = 1
         _paths[path] = got
