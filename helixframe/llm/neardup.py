@@ -88,16 +88,16 @@ def order_sketch(keys: np.ndarray, least: int = LEAST) -> np.ndarray:
 
 
 def node_id() -> Column:
-    return F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("doc_id")
+    return F.coalesce(F.col("doc_id"), F.xxhash64(F.lit("no id"), F.coalesce("text", F.lit(""))))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, high, low (hash of the words), sketch (empty if there is no word)."""
+    """doc_id, id (never null), high, low (hash of the words), sketch (empty if there is no word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             high, low, out = [], [], []
-            for _, _, block in common.blocks(batch.column(1)):
+            for _, _, block in common.blocks(batch.column(2)):
                 words = block.words()
                 for a, b in zip(block.first[:-1], block.first[1:], strict=True):
                     own = words[a:b]
@@ -108,11 +108,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
             values = np.concatenate(out) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "high", "low", "sketch"]
+                [batch.column(0), batch.column(1), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "id", "high", "low", "sketch"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(node_id(), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, high long, low long, sketch array<long>")
+    return docs.select("doc_id", node_id().alias("id"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, id {kind}, high long, low long, sketch array<long>")
 
 
 def word_arrays(docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def word_arrays(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(rows, pa.binary())], names=["node", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(node_id(), F.col("text").cast("string")).mapInArrow(run, f"node {kind}, words binary")
+    return docs.select(node_id().alias("node"), F.col("text").cast("string")).mapInArrow(run, f"node {kind}, words binary")
 
 
 def few_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -299,7 +299,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: one row for each row of docs."""
     docs = docs.select("doc_id", "text")
     sketched = common.cut(sketches(docs))
-    texts = common.cut(sketched.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch")))
+    texts = common.cut(sketched.groupBy("high", "low").agg(F.min("id").alias("node"), F.min_by("sketch", "id").alias("sketch")))
     bands = texts.select("node", F.posexplode("sketch").alias("band", "value"))
     sizes = bands.groupBy("band", "value").agg(F.count("*").alias("_n")).where("_n > 1")
     members = common.cut(bands.join(sizes, ["band", "value"]))
