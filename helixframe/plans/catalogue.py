@@ -476,17 +476,18 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chance_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.chance_floor(_block_sequences(spark, sf_dir))
+    blocks = _block_sequences(spark, sf_dir)
+    return clustering.chance_floor(blocks, clustering.containment(blocks, 11, 0.1))
 
 
 @query()
 def profile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links are pairs that share k-mers and whose composition is closer than chance at the member's scale."""
     blocks = _block_sequences(spark, sf_dir)
-    candidates = clustering.containment(blocks, 11, 0.1)
-    floors = clustering.chance_floor(blocks)
+    candidates = cut(clustering.containment(blocks, 11, 0.1))
+    floors = clustering.chance_floor(blocks, candidates)
     near = clustering.cosines(candidates, clustering.profiles(blocks)).join(blocks.select(F.col("seq_id").alias("member"), F.floor(F.log2("len")).cast("long").alias("scale")), "member").join(F.broadcast(floors), "scale", "left")
-    links = near.where(F.greatest("cosine", "cosine_reverse") > F.coalesce("floor", F.lit(0.0))).withColumn("strand", F.when(F.col("cosine_reverse") > F.col("cosine"), "-").otherwise("+"))
+    links = near.where(F.greatest("cosine", "cosine_reverse") > F.coalesce("floor", F.lit(clustering.USUAL_FLOOR))).withColumn("strand", F.when(F.col("cosine_reverse") > F.col("cosine"), "-").otherwise("+"))
     got = clustering.numbered(blocks, clustering.clusters(blocks, links))
     strand = links.select("seed", F.col("member").alias("seq_id"), "strand")
     return got.join(strand, ["seed", "seq_id"], "left").select("record", "start", "len", "seed", "cluster_id", F.coalesce("strand", F.lit("+")).alias("strand"))

@@ -76,13 +76,13 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).where(~F.col("line").startswith("#") & ~F.col("line").startswith("Seqid") & (F.size(d) >= 7))
     field = lambda i: F.trim(d[i])
     return rows.select(
-        d[0].alias("seqid"), d[1].alias("type"), field(2).cast("int").alias("cluster_id"), (field(3).cast("long") - 1).alias("start"), field(5).cast("long").alias("len"), field(6).alias("strand"), "file", "at"
+        d[0].alias("seqid"), d[1].alias("type"), field(2).try_cast("int").alias("cluster_id"), (field(3).try_cast("long") - 1).alias("start"), field(5).try_cast("long").alias("len"), field(6).alias("strand"), "file", "at"
     ).where("cluster_id is not null and start is not null and len is not null")
 
 
 def annotated_length(spark: SparkSession, path: str) -> int:
     """The length that an annotation table's head tells, with or without a number sign; 0 if it tells none."""
-    found = _lines(spark, path).select(F.regexp_extract("line", r"^#?Sequence length \(bp\)=\s*(\d+)", 1).cast("long").alias("n")).where("n is not null")
+    found = _lines(spark, path).select(F.regexp_extract("line", r"^#?Sequence length \(bp\)=\s*(\d+)", 1).try_cast("long").alias("n")).where("n is not null")
     row = found.limit(1).collect()
     return row[0]["n"] if row else 0
 
