@@ -342,3 +342,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = classes(common.table(spark, sf_dir, "documents"))
     return got.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+#: All pairs that share a shingle, for small tables. SQL has the shingles' similarity, not the alignment, which
+#: only tells apart texts of the same shingles in another order.
+ORACLE = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [['']] ELSE [w[i:i + {SHINGLE - 1}] for i in range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)] END) AS s FROM doc),
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE pair.n >= {SIMILARITY} * (x.n + y.n - pair.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM size UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, class_id, doc_id = class_id AS kept FROM doc JOIN class USING (doc_id)
+"""

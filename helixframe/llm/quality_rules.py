@@ -204,3 +204,44 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules(common.table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+def _oracle() -> str:
+    """The same in DuckDB's SQL: rows for words, windows and lines, and the sketches as counts of bins."""
+    rates = ", ".join(f"CASE WHEN {d} > 0 THEN floor(1000.0::DOUBLE * {n} / {d}) ELSE 0 END::BIGINT AS x_{r}" for r, (n, d, _) in RULES.items())
+    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {least} AS least, x_{r} AS x FROM rated" for r, (_, _, least) in RULES.items())
+
+    def level(name: str, keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        return f"""{name}_at AS (SELECT {by}rule, least, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY {by}rule ORDER BY bin) AS upto, sum(sum(n)) OVER (PARTITION BY {by}rule) AS total FROM fine GROUP BY {by}rule, least, bin),
+{name} AS (SELECT {by}rule, max(total) AS total, min(bin) FILTER (upto * 100 >= total * 50) + {SPREADS} * greatest(min(bin) FILTER (upto * 100 >= total * 50) - min(bin) FILTER (upto * 100 >= total * 10), max(least)) AS bound FROM {name}_at GROUP BY {by}rule)"""
+
+    bound = f"CASE WHEN a.total >= {MIN_GROUP} THEN a.bound WHEN b.total >= {MIN_GROUP} THEN b.bound ELSE c.bound END"
+    order = ", ".join(f"max(CASE WHEN rule = '{r}' AND x_{r} > bound THEN '{r}' END)" for r in RULES)
+    space = "\\x20\\x09-\\x0D"
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+word AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS w FROM (SELECT r, regexp_extract_all(t, '[^{space}]+') AS w FROM doc)),
+win AS (SELECT r, i, list(w) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS k, w = lag(w) OVER (PARTITION BY r ORDER BY i) AS same FROM word),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM win WHERE len(k) = {WINDOW}) WHERE n > 1),
+hit AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS j FROM twice) GROUP BY r),
+words AS (SELECT r, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FROM word GROUP BY r),
+again AS (SELECT r, count(*) FILTER (same) AS n_same_words FROM win GROUP BY r),
+line AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM doc) WHERE regexp_matches(l, '[^{space}]') GROUP BY r),
+base AS (SELECT doc.r, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_same_words, 0) AS n_same_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^!?~^=_\\\\{{}}\\[\\]]', '', 'g')) AS n_marks, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_capitals
+  FROM doc LEFT JOIN words USING (r) LEFT JOIN hit USING (r) LEFT JOIN again USING (r) LEFT JOIN line USING (r)),
+rated AS (SELECT *, {rates} FROM base),
+fine AS (SELECT lang, source, rule, least, x - x % (2 ** greatest(0, length(bin(x)) - {SKETCH_BITS}))::BIGINT AS bin, count(*) AS n FROM ({long}) GROUP BY ALL),
+{level("a", "lang, source")},
+{level("b", "lang")},
+{level("c", "")},
+bounds AS (SELECT a.lang, a.source, a.rule, {bound} AS bound FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rule = b.rule JOIN c ON c.rule = a.rule),
+judged AS (SELECT r, coalesce({order}) AS rejected_by FROM rated JOIN bounds ON rated.lang IS NOT DISTINCT FROM bounds.lang AND rated.source IS NOT DISTINCT FROM bounds.source GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT}) AND rejected_by IS NULL AS kept, rejected_by
+FROM rated JOIN judged USING (r)
+"""
+
+
+ORACLE = _oracle()

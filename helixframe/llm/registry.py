@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_license_scans": licenses.ORACLE,
+    "op4_near_duplicates": neardup.ORACLE,
     "op8_pii": pii.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
 }
