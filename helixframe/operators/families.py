@@ -24,6 +24,21 @@ def categories(present: DataFrame, genomes: int) -> DataFrame:
     return got.withColumn("category", kind)
 
 
+def gathered(each: DataFrame, genomes: int, least_members: int = 2) -> DataFrame:
+    """categories() of presence rows each(genome, family, members, bp), with the rows themselves as an array `parts`.
+
+    One aggregation by family, without a join back: a family has a row for each genome at most.
+    """
+    got = each.groupBy("family").agg(F.count("*").alias("frequency"), F.sum("members").cast("long").alias("total_members"), F.sum("bp").cast("long").alias("total_bp"), F.collect_list(F.struct("genome", "members", "bp")).alias("parts"))
+    kind = F.when(F.col("frequency") == genomes, "core").when(F.col("frequency") == 1, "unique").otherwise("accessory")
+    return got.where(F.col("total_members") >= least_members).withColumn("category", kind)
+
+
+def parts_of(gathered_families: DataFrame) -> DataFrame:
+    """The presence rows of gathered()."""
+    return gathered_families.select("family", F.explode("parts").alias("_p")).select("_p.genome", "family", "_p.members", "_p.bp")
+
+
 def category_totals(families: DataFrame) -> DataFrame:
     return families.groupBy("category").agg(F.count("*").alias("families"), F.sum("total_bp").cast("long").alias("bp"))
 

@@ -341,10 +341,9 @@ def _families(spark: SparkSession, sf_dir: str, genome: str) -> tuple[DataFrame,
     names = sorted(r["genome"] for r in table(spark, sf_dir, "documents").select(F.coalesce(genome, F.lit("")).alias("genome")).distinct().collect())
     # the genome is the windows' id, so that they are counted by genome before they meet by family
     found = kmers.windows(seqs.select(F.col("genome").alias("seq_id"), "seq"), K)
-    present = found.groupBy(F.col("seq_id").alias("genome"), F.col("ck").alias("family")).agg(F.count("*").alias("members")).withColumn("bp", F.col("members") * K)
-    present = cut(present)
-    fam = families.categories(present, len(names)).where("total_members > 1")
-    return present.join(fam.select("family"), "family", "left_semi"), fam, names
+    each = found.groupBy(F.col("seq_id").alias("genome"), F.col("ck").alias("family")).agg(F.count("*").alias("members")).withColumn("bp", F.col("members") * K)
+    fam = cut(families.gathered(each, len(names)))  # what stands once only is gone before it is stored
+    return families.parts_of(fam), fam.drop("parts"), names
 
 
 def _letters(df: DataFrame) -> DataFrame:
