@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, html_pages
 
 PATH_BINS, WORD_BINS, FIGURES, HIDDEN = 512, 32, 8, 24
-TRAIN_PAGES, EPOCHS, BATCH, SEED = 5000, 10, 40, 11
+TRAIN_PAGES, EPOCHS, BATCH, SEED = 2500, 10, 40, 11
 #: Elements that stand in a line of text; every other one begins and ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
