@@ -91,7 +91,7 @@ def kmer_letters(packed: Column, k: int) -> Column:
 
 
 def svg_step(rows: Column) -> Column:
-    """Distance of picture rows by their number."""
+    """Distance of picture rows by their number (fixed values of the format)."""
     return reduce(lambda acc, x: F.when(rows > x[0], x[1]).otherwise(acc), ((100, 14), (200, 13), (300, 12), (400, 11), (500, 10)), F.lit(16))
 
 

@@ -234,7 +234,7 @@ def run_read_gff(spark: SparkSession, path: str, out: str, s: Settings = Setting
     where, s = _prepared(spark, out, s)
     rows = cut(readers.read_annotations(spark, path))
     n = readers.annotated_length(spark, path) or (rows.agg(F.max(F.col("start") + F.col("len"))).head()[0] or 1)
-    name = rows.orderBy("file", "at").select("seqid").limit(1).collect()
+    name = rows.orderBy("file", "block", "at").select("seqid").limit(1).collect()
     stem = name[0]["seqid"] if name else Path(path).stem
     sinks.write_svg(str(where / f"{Path(path).stem}.svg"), stem, rows, n, s.scale, s.width, s.height)
     sinks.write_png(str(where / f"{Path(path).stem}.png"), rows, n, s.scale, s.width, s.height)

@@ -14,35 +14,50 @@ from ..functions import nucleotide
 GFF_SCHEMA = "seqid string, type string, cluster_id int, start long, stop long, len long, strand string, phase string, sequence string"
 
 
-def split_records(lines: DataFrame, order: str, letters: Column, header: Column | None = None, by: str = "file") -> DataFrame:
+def split_records(lines: DataFrame, order: str, letters: Column, header: Column | None = None, by: str = "file", block: str | None = None) -> DataFrame:
     """by, rec_no (from 1), header, name (up to the first blank), seq: lines(by, order, line) cut at headers.
 
     Letters before the first header are dropped; text without any header is record 0 with an empty name.
+    block tells pieces of a file apart, in their order; headers are then counted in each piece and
+    summed over pieces, so that no task meets all lines of a large file.
     """
-    is_header = header if header is not None else F.col("line").startswith(">")
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("_head", is_header).withColumn("rec_no", F.sum(F.col("_head").cast("long")).over(w))
-    has = F.max("rec_no").over(Window.partitionBy(by))
-    marked = marked.withColumn("_any", has).where("rec_no > 0 or _any = 0")
-    part = F.when(F.col("_head"), F.lit("")).otherwise(letters)
-    got = marked.groupBy(by, "rec_no").agg(F.max(F.when(F.col("_head"), F.trim(F.regexp_replace("line", "^[^>]*>", "")))).alias("header"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), part.alias("part")))).alias("_parts"))
+    marked = lines.withColumn("_block", F.lit(0) if block is None else F.col(block)).withColumn("_head", (header if header is not None else F.col("line").startswith(">")).cast("long"))
+    heads = marked.groupBy(by, "_block").agg(F.sum("_head").alias("_heads"))
+    whole = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_heads").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select(by, "_block", before.alias("_before"), F.sum("_heads").over(whole).alias("_any"))
+    inside = Window.partitionBy(by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("_own", F.sum("_head").over(inside)).join(heads, [by, "_block"])
+    marked = marked.withColumn("rec_no", F.col("_before") + F.col("_own")).where("rec_no > 0 or _any = 0")
+    part = F.when(F.col("_head") == 1, F.lit("")).otherwise(letters)
+    got = marked.groupBy(by, "rec_no").agg(F.max(F.when(F.col("_head") == 1, F.trim(F.regexp_replace("line", "^[^>]*>", "")))).alias("header"), F.array_sort(F.collect_list(F.struct(F.col("_block"), F.col(order).alias("at"), part.alias("part")))).alias("_parts"))
     seq = F.array_join(F.transform("_parts", lambda x: x["part"]), "")
     return got.select(by, "rec_no", F.coalesce("header", F.lit("")).alias("header"), F.regexp_extract(F.coalesce("header", F.lit("")), r"^(\S*)", 1).alias("name"), seq.alias("seq"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, at, line of every regular file: whole files are read, and each yields its lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r\n|\r|\n").alias("_l"))
-    return whole.select("file", F.posexplode("_l").alias("at", "line"))
+    """file, block (where the piece of the file begins), at (rises along a piece), line; large files are read in pieces."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
 
 
-def read_fasta(spark: SparkSession, path: str, keep_case: bool = False, whole_names: bool = False) -> DataFrame:
-    """seq_id (by file name and record), file, rec_no, name, seq, len. A folder is read whole, whatever its files are called."""
+def _numbered(records: DataFrame, lines: DataFrame) -> DataFrame:
+    """records with seq_id, by the order of file names and records: files are summed up, one row for each, not records."""
+    each = lines.groupBy("file").agg(F.greatest(F.sum(F.col("line").startswith(">").cast("long")), F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select("file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return records.join(each, "file").withColumn("seq_id", (F.col("_before") + F.greatest(F.col("rec_no") - 1, F.lit(0))).cast("long"))
+
+
+def _records(lines: DataFrame, keep_case: bool, whole_names: bool, block: str | None) -> DataFrame:
     letters = nucleotide.clean_keep_case(F.col("line")) if keep_case else nucleotide.clean(F.col("line"))
-    got = split_records(_lines(spark, path).where("line <> ''"), "at", letters)
+    got = _numbered(split_records(lines, "at", letters, block=block), lines)
     name = F.col("header") if whole_names else F.col("name")
-    numbered = got.withColumn("seq_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("file", "rec_no")) - 1).cast("long"))  # a row for each record
-    return numbered.select("seq_id", "file", "rec_no", name.alias("name"), "seq", F.length("seq").cast("long").alias("len"))
+    return got.select("seq_id", "file", "rec_no", name.alias("name"), "seq", F.length("seq").cast("long").alias("len"))
+
+
+def read_fasta(spark: SparkSession, path: str, keep_case: bool = False, whole_names: bool = False) -> DataFrame:
+    """seq_id (by file name and record), file, rec_no, name, seq, len. A folder is read whole, whatever its files are called."""
+    return _records(_lines(spark, path).where("line <> ''"), keep_case, whole_names, "block")
 
 
 def read_library(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -63,11 +78,7 @@ def read_library(spark: SparkSession, paths: list[str]) -> DataFrame:
 def from_strings(spark: SparkSession, texts: list[str], keep_case: bool = False) -> DataFrame:
     """As read_fasta(), from text in memory: each element is a file."""
     rows = [(f"{i:09d}", n, line) for i, t in enumerate(texts) for n, line in enumerate(t.splitlines()) if line]
-    lines = spark.createDataFrame(rows, "file string, at int, line string")
-    letters = nucleotide.clean_keep_case(F.col("line")) if keep_case else nucleotide.clean(F.col("line"))
-    got = split_records(lines, "at", letters)
-    numbered = got.withColumn("seq_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("file", "rec_no")) - 1).cast("long"))
-    return numbered.select("seq_id", "file", "rec_no", "name", "seq", F.length("seq").cast("long").alias("len"))
+    return _records(spark.createDataFrame(rows, "file string, at int, line string"), keep_case, False, None)
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +87,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).where(~F.col("line").startswith("#") & ~F.col("line").startswith("Seqid") & (F.size(d) >= 7))
     field = lambda i: F.trim(d[i])
     return rows.select(
-        d[0].alias("seqid"), d[1].alias("type"), field(2).try_cast("int").alias("cluster_id"), (field(3).try_cast("long") - 1).alias("start"), field(5).try_cast("long").alias("len"), field(6).alias("strand"), "file", "at"
+        d[0].alias("seqid"), d[1].alias("type"), field(2).try_cast("int").alias("cluster_id"), (field(3).try_cast("long") - 1).alias("start"), field(5).try_cast("long").alias("len"), field(6).alias("strand"), "file", "block", "at"
     ).where("cluster_id is not null and start is not null and len is not null")
 
 
@@ -90,4 +101,4 @@ def annotated_length(spark: SparkSession, path: str) -> int:
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """pair, file1, file2: names beside each other, apart by blanks or tabs."""
     d = F.split(F.trim("line"), "[\t ]+")
-    return _lines(spark, path).where(F.size(d) >= 2).select(F.col("at").alias("pair"), d[0].alias("file1"), d[1].alias("file2"))
+    return _lines(spark, path).where(F.size(d) >= 2).select((F.col("block") * (1 << 33) + F.col("at")).alias("pair"), d[0].alias("file1"), d[1].alias("file2"))

@@ -130,3 +130,24 @@ def test_arriving_files(spark, folder, tmp_path):
         watch.stop()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r["seq_id"].split("#")[0] for r in got.collect()} == {"first.fa", "second.fa"}
+
+
+def test_large_files_in_pieces(spark, tmp_path):
+    rng = random.Random(4)
+    (tmp_path / "fa").mkdir()
+    for f in "ab":
+        with open(tmp_path / "fa" / f, "w") as out:
+            for i in range(30):
+                out.write(f">{f}{i} x\n" + "".join("".join(rng.choice("acgtN") for _ in range(rng.randint(0, 30))) + "\n" for _ in range(rng.randint(0, 6))))
+    read = lambda: [tuple(r) for r in readers.read_fasta(spark, str(tmp_path / "fa"), keep_case=True).orderBy("seq_id").collect()]
+    whole = read()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert read() == whole and len(whole) == 60 and [r[0] for r in whole] == list(range(60))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    text = "".join((tmp_path / "fa" / f).read_text() for f in "ab")
+    assert [(r[3], r[4]) for r in whole] == [(x.split()[0], "".join(x.split("\n")[1:])) for x in text.split(">")[1:]]
