@@ -276,8 +276,9 @@ def across(words: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # of two sets, the larger one's rarest shingles meet the even rarer ones of the lesser, which must share more of its own
     prefix = ranked.where(first(least) & (F.col("_df") > 1)).select("node", "shingle", "size", first(2 * least / (1 + least)).alias("inner"), at.alias("at"))
     prefix = common.cut(prefix.join(words.select("node", "component"), "node"))
-    mixed = prefix.groupBy("shingle").agg(F.min("component").alias("_c0"), F.max("component").alias("_c1")).where("_c0 < _c1")
-    prefix = common.cut(prefix.join(mixed.select("shingle"), "shingle"))
+    # stored before the join, so that the join reads two plain shuffles, of which Spark can split a large part
+    mixed = common.cut(prefix.groupBy("shingle").agg(F.min("component").alias("_c0"), F.max("component").alias("_c1")).where("_c0 < _c1").select("shingle"))
+    prefix = common.cut(prefix.join(mixed, "shingle"))
     # sets of few such shingles carry them along, so that a join can tell all that two have in common
     listed = prefix.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "shingle"))).alias("_l")).where(F.size("_l") <= LISTED)
     prefix = prefix.join(listed.select("node", F.col("_l.shingle").alias("list"), F.col("_l.at").alias("places")), "node", "left")
