@@ -43,7 +43,8 @@ def tokenizer(name: str):
     """(encode, reference): text to an array of ids, fast; and the tokenizers library's own tokenizer.
 
     The file name.tiktoken has the vocabulary of name.json as merge ranks, for an encoder that takes
-    a fifth of the time. Each pieces() task holds one text in CHECK_EVERY against the reference.
+    a fifth of the time. Its regular expressions fail on very long runs of white space; such texts are
+    left to the reference. Each pieces() task holds one text in CHECK_EVERY against the reference.
     """
     if name not in _tokenizers:
         import base64
@@ -58,7 +59,14 @@ def tokenizer(name: str):
         with open(common.tokenizer_file(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _tokenizers[name] = (lambda text: fast.encode_to_numpy(text, disallowed_special=())), reference
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its stack for backtracking is full
+                return np.array(reference.encode(text, add_special_tokens=False).ids, np.uint32)
+
+        _tokenizers[name] = encode, reference
     return _tokenizers[name]
 
 

@@ -205,6 +205,16 @@ def test_encoders_agree_on_all_characters():
         assert encode(text).tolist() == want.ids
 
 
+def test_packing_of_long_white_space(spark):
+    encode, reference = packing.tokenizer(packing.TOKENIZER)
+    texts = ["a" + blank * 1_200_000 + "b c" for blank in (" ", "\n")]
+    for text in texts:
+        assert encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, text in enumerate(texts):
+        assert sum(r["length"] for r in got if r["doc_id"] == i) == len(reference.encode(text, add_special_tokens=False).ids) + 1
+
+
 @pytest.mark.parametrize("which", ["some"])
 def test_fingerprints(spark, some, which):
     rows = sorted((r["doc_id"], r["text"] or "") for r in rows_of(spark, some))
