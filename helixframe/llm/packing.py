@@ -55,14 +55,13 @@ def tokenizer(name: str):
         from tokenizers import Tokenizer
 
         reference = Tokenizer.from_file(common.tokenizer_file(f"{name}.json"))
-        reference.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(common.tokenizer_file(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={token.content: i for i, token in reference.get_added_tokens_decoder().items()})
 
         def encode(text: str) -> np.ndarray:
             try:
-                return fast.encode_to_numpy(text, disallowed_special=())
+                return fast.encode_to_numpy(text, allowed_special="all")
             except ValueError:  # its stack for backtracking is full
                 return np.array(reference.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -215,6 +215,17 @@ def test_packing_of_long_white_space(spark):
         assert sum(r["length"] for r in got if r["doc_id"] == i) == len(reference.encode(text, add_special_tokens=False).ids) + 1
 
 
+def test_packing_of_special_tokens():
+    """Their strings in a text are what the tokenizer's file says, with nothing else set."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(common.tokenizer_file(f"{packing.TOKENIZER}.json"))
+    encode, _ = packing.tokenizer(packing.TOKENIZER)
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    for text in ("<|endoftext|>", "a  <|endoftext|>  b", "x<|endoftext|><|endoftext|>\n\n<|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|> \n <|endoftext|>'s", " " * 1_200_000 + "<|endoftext|> b"):
+        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("which", ["some"])
 def test_fingerprints(spark, some, which):
     rows = sorted((r["doc_id"], r["text"] or "") for r in rows_of(spark, some))
