@@ -1,6 +1,7 @@
 """Licence scan by canonical digests.
 
-A text is made canonical: ASCII letters lower, copyright lines dropped, punctuation and white space
+A text is made canonical: ASCII letters lower, copyright notices dropped (also behind the sign of a
+comment, but no line of a licence's body that begins with such a word), punctuation and white space
 turned into single spaces, spellings that count as equal turned into one. The SHA-256 of the result
 is hash-joined to the digests of known licences, made canonical by the same expression. So are the
 lines of a text to the digests of known notices, which stand for a licence without its text.
@@ -71,16 +72,25 @@ NOTICES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line about copyright, with the line break before it. The same in Java's and RE2's syntax, as are the others.
+#: A line about copyright, with the line break before it: what ORACLE drops. It also takes lines of a licence's body.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-#: Everything but letters, digits, line breaks and what isn't ASCII; and typographic signs.
+#: A notice of copyright, after an optional comment sign. "copyright" and "(c)" before a year or a sign begin one; else they
+#: don't before words that go on a sentence or an item of a list.
+NOTICE_LINE = (
+    r"(^|\n)[ \t]*(?:(?:[#*/;%!|-]+|<!--)[ \t]*)?(?:"
+    r"copyright(?![a-z]|[ \t]+(?:(?:holders?|owners?|notices?|statements?|disclaimers?|laws?|licen[cs]es?|protection|rights?|interests?|and|or|in|is|are|to|of|for|on|as|that|which)\b))"
+    r"|\(c\)(?=[^\n]*\b(?:19|20)[0-9]{2}\b|[ \t]*(?:copyright|©))"
+    r"|\(c\)(?![ \t]+(?:you|any|the|an?|to|if|in|this|that|these|each|all|for|must|not|no|use|when|where|neither|redistributions?|it|your|they)\b)"
+    r"|©|all rights reserved)[^\n]*"
+)
+#: Everything but letters, digits, line breaks and what isn't ASCII; and typographic signs. The same in Java's and RE2's syntax.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F“”‘’«»–—©®™•·…\x{A0}]+"
 
 
 def canonical(text: Column) -> Column:
     """Canonical text, its lines still apart."""
     c = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
-    c = F.regexp_replace(c, COPYRIGHT_LINE, "\n")
+    c = F.regexp_replace(c, NOTICE_LINE, "\n")
     c = F.concat(F.lit(" "), F.regexp_replace(c, PUNCTUATION, " "), F.lit(" "))
     for have, want in SPELLINGS:
         c = F.replace(c, F.lit(f" {have}"), F.lit(f" {want}"))

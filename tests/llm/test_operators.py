@@ -349,6 +349,30 @@ def test_licenses(spark):
     assert len(none) == 7 and all(r["license"] is None and r["notices"] == "" for r in none)
 
 
+def test_licenses_wrapped_at_any_width(spark):
+    import textwrap
+
+    docs, want = [], []
+    for name, text in licenses.LICENSES:
+        for width in range(60, 101):
+            body = "\n".join(textwrap.fill(x, width) for x in text.split("\n"))
+            docs.append((len(docs), body))
+            want.append(name)
+            for sign in ("# ", " * "):
+                notice = f"Copyright (c) 2020 Someone\nCopyright Some One Ltd.\n(C) 2019, Other\nAll rights reserved.\n\n{body}"
+                docs.append((len(docs), "\n".join(sign + x for x in notice.split("\n"))))
+                want.append(name)
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"], *licenses.known_tables(spark)).collect()}
+    assert [got[i] for i in range(len(docs))] == want
+
+
+def test_notices_of_copyright(spark):
+    drop = ["Copyright 2020 A", "copyright (c) A", "Copyright © A", "Copyright: The A Authors", "Copyright A", "// Copyright A", "/* (c) 2020 The A", "(c) Acme Inc", "(c) Copyright A", "© A", "All rights reserved."]
+    keep = ["COPYRIGHT HOLDERS BE LIABLE", "copyright notice, this list", "copyright holder nor the names", "(c) You must retain", "copyrighted material"]
+    rows = spark.createDataFrame(list(enumerate(drop + keep)), "i long, text string").select("i", licenses.canonical(licenses.F.col("text")).alias("c")).collect()
+    assert [r["c"].strip() == "" for r in sorted(rows)] == [True] * len(drop) + [False] * len(keep)
+
+
 def test_url_filters(spark):
     from datetime import datetime
 
