@@ -5,7 +5,8 @@ each of SKETCHES hash functions the sketch takes the LEAST k-mers of least hash
 the order of the text (Marcais, DeBlasio, Pandey and Kingsford, 2019). Two texts meet where a sketch
 is equal: likely for a small edit distance, unlikely for the same words in another order. With a
 shingle similarity of 0.8, a sketch is equal with probability 0.8 ** 5 or so, and one in 24 at least with
-0.9999.
+0.9998 or more where either text has over 40 words. Texts of SHORT words at most have too few shingles for
+that; they are all compared, behind the exact filter below.
 
 Candidates are verified: the Jaccard similarity of the sets of shingles is a bound that most
 wrong ones miss, then a banded alignment of the words gives the edit distance. A link needs both
@@ -14,8 +15,8 @@ similarities to reach SIMILARITY.
 Texts of the same words are one node from the start. Nodes that share a sketch aren't all paired. One
 of them, the hub, is compared with the others first; where that joins them, nothing is left to do, as
 classes are connected components. What then still lies in different components of one bucket is
-compared across components, with an exact filter that spares pairs that can't reach SIMILARITY. The
-components are those of all links among candidates.
+compared across components, with an exact filter that spares pairs that can't reach SIMILARITY; so are
+all short texts, whatever they share. The components are those of all links among candidates.
 
 Defined results: null text counts as empty; texts without words are copies of each other; texts of
 fewer words than a shingle are one shingle of all their words. Class ids are the least doc_id of the
@@ -37,6 +38,8 @@ from . import common
 SHINGLE = 5
 SKETCHES = 24
 LEAST = 5
+#: Words of a short text. Texts alike to one of up to 40 words have no more.
+SHORT = 50
 SIMILARITY = 0.8
 #: Shingles of a prefix up to which it is carried along as a list.
 LISTED = 64
@@ -92,15 +95,16 @@ def node_id() -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, id (never null), high, low (hash of the words), sketch (empty if there is no word)."""
+    """doc_id, id (never null), high, low (hash of the words), n_words, sketch (empty if there is no word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            high, low, out = [], [], []
+            high, low, n_words, out = [], [], [], []
             for _, _, block in common.blocks(batch.column(2)):
                 words = block.words()
                 for a, b in zip(block.first[:-1], block.first[1:], strict=True):
                     own = words[a:b]
+                    n_words.append(len(own))
                     spread = own * common._power(common._BASE, len(own)) + np.uint64(1)
                     high.append(int(common.mix(spread).sum(dtype=np.uint64).view(np.int64)))
                     low.append(int((common.mix(spread + _FOLD) * _FOLD).sum(dtype=np.uint64).view(np.int64)))
@@ -108,11 +112,12 @@ def sketches(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
             values = np.concatenate(out) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "id", "high", "low", "sketch"]
+                [batch.column(0), batch.column(1), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(n_words, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                names=["doc_id", "id", "high", "low", "n_words", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", node_id().alias("id"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, id {kind}, high long, low long, sketch array<long>")
+    return docs.select("doc_id", node_id().alias("id"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, id {kind}, high long, low long, n_words int, sketch array<long>")
 
 
 def word_arrays(docs: DataFrame) -> DataFrame:
@@ -300,7 +305,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: one row for each row of docs."""
     docs = docs.select("doc_id", "text")
     sketched = common.cut(sketches(docs))
-    texts = common.cut(sketched.groupBy("high", "low").agg(F.min("id").alias("node"), F.min_by("sketch", "id").alias("sketch")))
+    texts = common.cut(sketched.groupBy("high", "low").agg(F.min("id").alias("node"), F.min("n_words").alias("n_words"), F.min_by("sketch", "id").alias("sketch")))
     bands = texts.select("node", F.posexplode("sketch").alias("band", "value"))
     sizes = bands.groupBy("band", "value").agg(F.count("*").alias("_n")).where("_n > 1")
     members = common.cut(bands.join(sizes, ["band", "value"]))
@@ -308,7 +313,8 @@ def classes(docs: DataFrame) -> DataFrame:
     met = members.groupBy("node").agg(F.sum("_n").alias("_met"))
     hubs = members.join(met, "node").groupBy("band", "value").agg(F.max_by("node", F.struct("_met", "node")).alias("hub"))
     members = common.cut(members.select("node", "band", "value").join(hubs, ["band", "value"]))
-    nodes = members.select("node").distinct()
+    short = texts.where(F.col("n_words").between(1, SHORT)).select("node")
+    nodes = members.select("node").union(short).distinct()
     words = common.cut(word_arrays(docs.join(nodes, node_id() == F.col("node"), "left_semi")).dropDuplicates(["node"]))
 
     pairs = members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -316,10 +322,11 @@ def classes(docs: DataFrame) -> DataFrame:
     edges = tried.where("same").select("a", "b")
     labels = common.cut(components(edges)) if edges.take(1) else None
 
-    # what is left: nodes of different components in one bucket, which need not be alike to the hub
+    # what is left: nodes of different components in one bucket, which need not be alike to the hub, and short texts
     placed = labelled_by(members.select("node", "band", "value"), labels)
     apart = placed.groupBy("band", "value").agg(F.min("component").alias("_c0"), F.max("component").alias("_c1"), F.count("*").alias("_n")).where("_c0 < _c1 and _n > 2")
-    left = common.cut(placed.join(apart.select("band", "value"), ["band", "value"]).select("node", "component").distinct().join(words, "node"))
+    left = placed.join(apart.select("band", "value"), ["band", "value"]).select("node", "component").union(labelled_by(short, labels).select("node", "component"))
+    left = common.cut(left.distinct().join(words, "node"))
     if left.take(1):
         more = common.cut(across(left).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         found = common.cut(verified(more, left).where("same").select("a", "b"))

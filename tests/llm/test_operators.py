@@ -58,6 +58,25 @@ def test_near_duplicates_of_one_hub_and_apart(spark, tmp_path):
     assert got == brute.near_classes(rows)
 
 
+def test_near_duplicates_of_few_words(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    texts = []
+    for n in range(1, 46):
+        base = [word() for _ in range(n)]
+        texts += [base, [*base, word()], [word(), *base]]
+        if n % 9 == 0:
+            texts.append([*base, *(word() for _ in range(n // 5))])
+    texts += [["again"] * n for n in range(1, 20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.op4_near_duplicates(spark, str(tmp_path)).collect()}
+    assert got == brute.near_classes(rows)
+    at = 3 * 7 + 0  # the text of eight words, without the fourth texts of every ninth
+    assert len(texts[at]) == 8 and got[at] == got[at + 1] == got[at + 2]
+
+
 def test_edit_distances():
     rng = random.Random(2)
     for _ in range(500):
