@@ -27,9 +27,21 @@ def send_package(spark: SparkSession) -> None:
     context.addPyFile(to)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Where checkpoints go: the folder that is set, else one beside the tables of the warehouse, which executors share as well.
+
+    Only a session of one machine, as in tests, gets a temporary folder of its own.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        local = spark.sparkContext.master.startswith("local")
+        known = tempfile.mkdtemp(prefix="helixframe-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_helixframe_checkpoints"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(known)
+    return known
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder that spark.checkpoint.dir names, and cut its lineage."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
+    """Materialise df in the folder for checkpoints, and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
