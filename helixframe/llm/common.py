@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import send_package
+from ..runtime import checkpoint_folder, cut, send_package  # noqa: F401
 
 #: A word, for every operator here: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,18 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder that spark.checkpoint.dir names, and cut its lineage."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder for tables in the one that spark.checkpoint.dir names."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-")
-    return f"{top.rstrip('/')}/helixframe-{uuid.uuid4().hex}"
+    """A new folder for tables in the one for checkpoints, which all executors see."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/helixframe-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
