@@ -8,10 +8,11 @@ order of blocks.
 from __future__ import annotations
 
 import random
+import re
 
 MARK = "\ue000"
 
-_VOWELS, _CONSONANTS = "aeiou", "bcdfghklmnprstvwz"
+_SYLLABLES = [a + b + c for a in "bcdfghklmnprstvwz" for b in "aeiou" for c in ("", "", "n", "r", "s")]
 _CLASSES = {
     "nav": ("nav", "navbar", "menu", "navigation", "main-menu", "topnav", "links"),
     "header": ("header", "site-header", "masthead", "top", "topbar", "branding"),
@@ -37,12 +38,11 @@ _SMALL = {
 
 
 class Maker:
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
-        self.words = ["".join(self.r.choice(_CONSONANTS) + self.r.choice(_VOWELS) + self.r.choice(("", "", "n", "r", "s")) for _ in range(self.r.randint(1, 4))) for _ in range(400)]
+    def __init__(self, seed: int, words: list[str]):
+        self.r, self.words = random.Random(seed), words
 
     def some(self, n: int) -> str:
-        return " ".join(self.r.choice(self.words) for _ in range(n))
+        return " ".join(self.r.choices(self.words, k=n))
 
     def sentences(self, least: int = 1, most: int = 5) -> str:
         return " ".join(self.some(self.r.randint(3, 14)).capitalize() + self.r.choice((".", ".", ".", "?", "!")) for _ in range(self.r.randint(least, most)))
@@ -171,8 +171,22 @@ class Maker:
         if self.r.random() < 0.3:
             body = f"<div{self.attributes('plain')}>{body}</div>"
         end = "</body></html>" if self.r.random() < 0.9 else ""
-        return f"<!DOCTYPE html><html><head><title>{self.some(4)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{body}{end}"
+        head = f"<title>{self.some(4)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script>"
+        loose = self.r.random()  # tags that may be left out
+        if loose < 0.06:
+            return f"{head}{body}{end}"
+        if loose < 0.12:
+            return f"<html><head>{head}{body}{end}"
+        if loose < 0.16:
+            body = re.sub(r'="([a-z-]+)"', r"=\1", body)  # no quotes where none are needed
+        return f"<!DOCTYPE html><html><head>{head}</head><body>{body}{end}"
 
 
 def pages(n: int, seed: int) -> list[str]:
-    return [Maker(seed * 100_003 + i).page() for i in range(n)]
+    out = []
+    for i in range(n):
+        if i % 50 == 0:  # pages in another language
+            r = random.Random(seed * 100_003 + n + i)
+            words = ["".join(r.choices(_SYLLABLES, k=k)) for k in r.choices((1, 2, 3, 4), k=400)]
+        out.append(Maker(seed * 100_003 + i, words).page())
+    return out
