@@ -13,7 +13,9 @@ not 0, as far as they have at most TRAIN_LINES lines. Scoring reads whole texts
 Defined results: a text without words (null, empty) has the share of label 1 among such training
 documents, or among all if there is none; without any usable label all scores are 0.5; with labels of
 one kind only they are this kind's share, 0 or 1. A null doc_id isn't held out. Of contradictory
-labels of a document the least counts. Equal rows each get a row; an empty table an empty result.
+labels of a document the least counts, and of texts with the same doc_id the least is learned from. Equal
+rows each get a row; an empty table an empty result. Only doc_id and text are read, so that other columns
+of whatever name don't matter.
 """
 
 from __future__ import annotations
@@ -207,6 +209,7 @@ def training_lines(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> l
     usable = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most n rows
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))  # one for each id, however often it stands there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
