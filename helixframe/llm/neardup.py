@@ -20,8 +20,9 @@ all short texts, whatever they share. The components are those of all links amon
 
 Defined results: null text counts as empty; texts without words are copies of each other; texts of
 fewer words than a shingle are one shingle of all their words. Class ids are the least doc_id of the
-class. A null doc_id stands for a hash of its text. Equal doc_ids are one document. An empty table
-gives an empty result.
+class. A null doc_id stands for a hash of its text. Equal doc_ids are one document, compared by one of its
+texts, the same in every run. Texts of any length are read whole. An empty table gives an empty result.
+Only doc_id and text are read; keep_one() gives all columns back, of whatever name.
 """
 
 from __future__ import annotations
@@ -315,7 +316,8 @@ def classes(docs: DataFrame) -> DataFrame:
     members = common.cut(members.select("node", "band", "value").join(hubs, ["band", "value"]))
     short = texts.where(F.col("n_words").between(1, SHORT)).select("node")
     nodes = members.select("node").union(short).distinct()
-    words = common.cut(word_arrays(docs.join(nodes, node_id() == F.col("node"), "left_semi")).dropDuplicates(["node"]))
+    words = word_arrays(docs.join(nodes, node_id() == F.col("node"), "left_semi"))
+    words = common.cut(words.groupBy("node").agg(F.min("words").alias("words")))  # of rows with equal ids always the same one
 
     pairs = members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     tried = common.cut(verified(pairs, words))
