@@ -8,16 +8,21 @@ both estimates the Jaccard likeness, and is exact for texts of fewer phrases.
 
 To meet each document with the next one in the order of ids, rows are dealt into ranges of ids by
 quantiles, and the first document of a range goes to the range before as well, as a look ahead; the
-first of all goes to the last. Ranges are read in order as a stream, so their size doesn't matter.
+first of all goes to the last. Ranges are read in order as a stream, so their size doesn't matter. An id
+that fills several quantiles (such as a null one) has so many ranges, by a hash of the text.
 
 Defined results: null text counts as empty, and has no phrases; two empty texts are alike (1), an
-empty and another one are not (0). A null id sorts first. Of equal ids the lesser text comes first;
-each row gets a row. A single row is followed by itself. An empty table gives an empty result.
+empty and another one are not (0). A null id sorts first. Rows of equal ids follow each other by a hash of
+their texts; each row gets a row. A single row is followed by itself. Texts of any length are parsed whole.
+An empty table gives an empty result. Only doc_id and text are read, so that other columns of whatever name
+don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,8 +102,12 @@ def _printed(sign: np.ndarray) -> str:
     return sign.astype(">u4").tobytes().hex()
 
 
-def _range_of(order: Column, splits: list[int]) -> Column:
-    """How many of the sorted splits are at most `order`: among coarse ones first, then among those between."""
+def _range_of(order: Column, tie: Column, quantiles: list[int]) -> Column:
+    """How many of the sorted quantiles are at most `order`, found among coarse ones first, then among those between.
+
+    Ties: a quantile that is there n times has n ranges, in the order of `tie`, a number from 0 to 1.
+    """
+    splits = sorted(set(quantiles))
     if not splits:
         return F.lit(0)
     step = max(1, int(len(splits) ** 0.5))
@@ -107,7 +116,15 @@ def _range_of(order: Column, splits: list[int]) -> Column:
     above = F.size(F.filter(coarse, lambda x: x <= order))
     fine = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
     inner = F.size(F.filter(F.element_at(fine, F.greatest(above, F.lit(1))), lambda x: x <= order))
-    return F.when(above == 0, F.lit(0)).otherwise((above - 1) * step + inner)
+    got = F.when(above == 0, F.lit(0)).otherwise((above - 1) * step + inner)
+    often = {x: n for x, n in Counter(quantiles).items() if n > 1}
+    if not often:
+        return got
+    # ranges are numbered anew with room for the parts of each; what lies above a quantile, below the next, is in its last part
+    ends = list(itertools.accumulate([often.get(x, 1) for x in splits], initial=1))
+    last = F.element_at(F.array(*[F.lit(x - 1) for x in ends]), got + 1)
+    parts = F.try_element_at(F.create_map(*[F.lit(x) for pair in often.items() for x in pair]), order)
+    return last - F.coalesce(parts - 1 - F.least(F.floor(tie * parts), parts - 1), F.lit(0))
 
 
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -115,22 +132,27 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_order"))
     n = rows.count()
     ranges = max(1, min(MOST_RANGES, n // range_rows))
-    splits: list[int] = []
+    quantiles: list[int] = []
     if ranges > 1:
         at = [i / ranges for i in range(1, ranges)]
-        splits = sorted(set(rows.agg(F.percentile_approx("_order", at, 10 * ranges)).head()[0]))
-    rows = rows.withColumn("_range", _range_of(F.col("_order"), splits).cast("int"))
-    firsts = {r["_range"]: r["first"] for r in rows.groupBy("_range").agg(F.min("_order").alias("first")).collect()}  # a row for each range
+        quantiles = sorted(rows.agg(F.percentile_approx("_order", at, 10 * ranges)).head()[0])
+    rows = rows.withColumn("_tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    rows = rows.withColumn("_range", _range_of(F.col("_order"), F.col("_tie") / float(1 << 63), quantiles).cast("int"))
+    least = F.min(F.struct("_order", "_tie")).alias("first")
+    firsts = {r["_range"]: (r["first"]["_order"], r["first"]["_tie"]) for r in rows.groupBy("_range").agg(least).collect()}  # a row for each range
     filled = sorted(firsts)
     before = {r: filled[i - 1] for i, r in enumerate(filled)}
-    first = F.array(*[F.lit(firsts.get(r)).cast("long") for r in range(len(splits) + 1)])
-    prior = F.array(*[F.lit(before.get(r)).cast("int") for r in range(len(splits) + 1)])
+    known = range(max(filled, default=0) + 1)
+    order, ties = (F.array(*[F.lit(firsts[r][i] if r in firsts else None).cast("long") for r in known]) for i in (0, 1))
+    prior = F.array(*[F.lit(before.get(r)).cast("int") for r in known])
     here = F.struct(F.col("_range").alias("r"), F.lit(0).alias("a"))
-    ahead = F.when(F.element_at(first, F.col("_range") + 1) == F.col("_order"), F.struct(F.element_at(prior, F.col("_range") + 1).alias("r"), F.lit(1).alias("a")))
+    mine = F.col("_range") + 1
+    is_first = (F.element_at(order, mine) == F.col("_order")) & (F.element_at(ties, mine) == F.col("_tie"))
+    ahead = F.when(is_first, F.struct(F.element_at(prior, mine).alias("r"), F.lit(1).alias("a")))
     dealt = rows.withColumn("_to", F.explode(F.array_compact(F.array(here, ahead))))
-    dealt = dealt.select("doc_id", "text", "_order", F.col("_to.r").alias("_range"), F.col("_to.a").alias("_ahead"))
+    dealt = dealt.select("doc_id", "text", "_order", "_tie", F.col("_to.r").alias("_range"), F.col("_to.a").alias("_ahead"))
     parts = max(1, len(filled))
-    return dealt.repartition(parts, "_range").sortWithinPartitions("_range", "_ahead", "_order", "text")
+    return dealt.repartition(parts, "_range").sortWithinPartitions("_range", "_ahead", "_order", "_tie", "text")
 
 
 def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
