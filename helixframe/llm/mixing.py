@@ -14,7 +14,10 @@ Documents enter a block by falling size, so that small ones are left to even out
 from hashes of the documents and SEED: the same rows give the same mix in any partitioning.
 
 Defined results: null text has size 0; a source without words has target 0 and none of it is
-taken; equal rows are mixed as often as they stand there; an empty table gives an empty result.
+taken; a null doc_id or source is a value like others; equal rows, of which nothing is known but their
+number until they are dealt over blocks, are mixed as often as they stand there; texts of any length are
+counted whole; an empty table gives an empty result. mix() has the columns it lists; repeat_documents()
+gives all columns of docs back, of whatever name.
 """
 
 from __future__ import annotations
@@ -71,9 +74,10 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def flight(size: np.ndarray, pi: np.ndarray, rng: random.Random, last: bool) -> np.ndarray:
     """Probabilities after the flight: two at most stay between 0 and 1, none after the last."""
-    pi, size = pi.tolist(), size.tolist()
+    # what rounding has left beside 0 or 1 is there already
+    pi, size = [float(round(p)) if p < _EPS or p > 1 - _EPS else p for p in pi.tolist()], size.tolist()
     air: list[int] = []
-    flying = [i for i, p in enumerate(pi) if _EPS < p < 1 - _EPS]
+    flying = [i for i, p in enumerate(pi) if 0 < p < 1]
     ground = sorted({flying[int(x)] for x in np.linspace(len(flying) // 4, len(flying) - 1, min(LANDING, len(flying)))}) if last and flying else []
     kept = set(ground)
     rest = iter([i for i in flying if i not in kept])
@@ -112,7 +116,9 @@ def mix(docs: DataFrame, carry: list[str] | None = None, block_rows: int = BLOCK
     """
     carry = carry or ["doc_id"]
     cols = [*dict.fromkeys([*carry, "source"])]
-    rows = common.cut(docs.select(*cols, size_of().alias("size")))
+    # equal rows are counted first, so that no task meets all of a large group of them, and get a number each
+    rows = docs.select(*cols, size_of().alias("size")).groupBy(*cols, "size").agg(F.count("*").alias("_n"))
+    rows = common.cut(rows.withColumn("_at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n"))
     goal = common.cut(targets(rows.select("source", "size")))
     goal = goal.withColumnRenamed("source", "_source")
     if goal.count() <= 20_000:  # a row of some 50 bytes for each source
@@ -122,7 +128,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None, block_rows: int = BLOCK
     rows = rows.withColumn("_often", often).withColumn("_whole", F.floor("_often").cast("long"))
     rows = rows.withColumn("_pi", F.col("_often") - F.col("_whole"))
     # a block is some of one source's rows; which one only depends on the row and on how many rows the source has
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), *cols, "size"))
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), *cols, "size", "_at"))
     air = rows.select(*cols, "size", "source_size", "target", "_whole", "_pi", "_key", F.ceil(F.col("source_rows") / block_rows).cast("long").alias("_fan"))
     most = -(-(goal.agg(F.max("source_rows")).head()[0] or 1) // block_rows)  # the largest _fan
     schema = air.schema
@@ -159,12 +165,10 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     keyed = plain.withColumn("_row", F.xxhash64(*[F.col(c) for c in plain.columns if "map" not in kinds[c]]))
     mixed = mix(keyed.select("doc_id", "_row", "source", "text"), ["doc_id", "_row"])
     total = mixed.groupBy("doc_id", "_row").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).withColumnsRenamed({"doc_id": "_id", "_row": "_of"})
-    met = keyed.join(total, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")))
-    # equal rows share what is taken of them
-    at = F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy(F.lit(0)))
-    often = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_at") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    often = met.withColumn("_at", at).withColumn("_often", often.cast("int")).where("_often > 0")
-    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_often")))).select(*back)
+    met = keyed.join(total.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")))
+    # of equal rows one stands for all; they meet in each task before they are shuffled
+    one = met.where("_rows = 1").unionByName(met.where("_rows > 1").dropDuplicates(["_id", "_row"]))
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*back)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
