@@ -6,10 +6,15 @@ the first segment of the path. Entries become intervals; each capture is joined
 keys that are active at its fetch time, and the longest of these keys decides.
 
 Only distinct captures are joined: a URL that is captured a million times at one time counts once.
+The as-of join puts a key's entries and captures behind each other in the order of time, where the last
+entry before a capture is the one that is active; no capture meets more than that one. A key of very many
+captures is dealt over several groups, each with all the key's entries.
 
 Defined results: a null URL, or one without a host, has no keys and passes; a null fetch time meets
 no interval and passes; equal rows each get a row; of entries with the same key and time the
-last in the order of action and category counts; an empty list blocks nothing.
+last in the order of action and category counts; an empty list blocks nothing; a URL of any length is
+read whole; an empty table of captures gives an empty result. Columns of captures that are named as one of
+the result's give way to it; others, of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from . import common
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 FIRST_SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+)"
-#: Of interval rows; some 100 bytes each.
-BROADCAST_ROWS = 50_000
+#: Captures of one key beyond which they are dealt over several groups.
+GROUP_ROWS = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -46,20 +51,41 @@ def intervals(entries: DataFrame) -> DataFrame:
     return last.select("key", "_e.action", "_e.category", F.col("listed_at").alias("valid_from"), until.alias("valid_to"))
 
 
+def as_of(captures: DataFrame, active: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """url, fetched_at, key of captures with the interval of active(key, action, category, valid_from, valid_to) that holds then.
+
+    Keys of more than group_rows captures are dealt over groups by a hash of the capture.
+    """
+    often = captures.groupBy("key").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("_groups"))
+    listed = common.cut(active.join(often, "key"))  # entries of keys that no capture has are gone
+    keys = listed.select("key", "_groups").distinct()
+    entries = listed.withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
+    named = F.struct("action", "category", "valid_from", "valid_to").alias("_entry")
+    entries = entries.select("key", "_group", F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("url"), named)
+    dealt = captures.join(keys, "key").withColumn("_group", F.pmod(F.xxhash64("url", "fetched_at"), F.col("_groups")).cast("int"))
+    dealt = dealt.select("key", "_group", F.col("fetched_at").alias("_at"), F.lit(1).alias("_kind"), "url", F.lit(None).cast(entries.schema["_entry"].dataType).alias("_entry"))
+    by_time = Window.partitionBy("key", "_group").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = entries.unionByName(dealt).withColumn("_entry", F.last("_entry", ignorenulls=True).over(by_time))
+    now = F.col("_entry.valid_to").isNull() | (F.col("_at") < F.col("_entry.valid_to"))
+    return last.where((F.col("_kind") == 1) & F.col("_entry").isNotNull() & now).select("url", F.col("_at").alias("fetched_at"), "key", "_entry.*")
+
+
+RESULT = ("matched_key", "action", "category", "valid_from", "blocked")
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (with url and fetched_at) and matched_key, action, category, valid_from of the deciding entry, and blocked."""
+    carried = [c for c in captures.columns if c not in RESULT]
+    plain, back = common.masked(captures.select(*[F.col(f"`{c}`") for c in carried]), "url", "fetched_at")
     active = common.cut(intervals(entries))
-    if active.count() <= BROADCAST_ROWS:
-        active = F.broadcast(active)
-    one = captures.select("url", "fetched_at").distinct()
-    keyed = one.select("url", "fetched_at", F.explode(keys_of(F.col("url"))).alias("key"))
-    now = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    met = keyed.join(active, "key").where(now & (F.col("action") != "none"))
+    one = plain.select("url", "fetched_at").where("url is not null and fetched_at is not null").distinct()
+    keyed = common.cut(one.select("url", "fetched_at", F.explode(keys_of(F.col("url"))).alias("key")))
+    met = as_of(keyed, active).where(F.col("action") != "none")
     best = F.max(F.struct(F.length("key").alias("_n"), F.col("key").alias("matched_key"), "action", "category", "valid_from"))
-    verdict = met.groupBy("url", "fetched_at").agg(best.alias("_v")).select(F.col("url").alias("_url"), F.col("fetched_at").alias("_at"), "_v")
-    got = captures.join(verdict, F.col("url").eqNullSafe(F.col("_url")) & F.col("fetched_at").eqNullSafe(F.col("_at")), "left")
-    fields = [F.col(f"_v.{x}").alias(x) for x in ("matched_key", "action", "category", "valid_from")]
-    return got.select(*captures.columns, *fields, F.coalesce(F.col("_v.action") == "block", F.lit(False)).alias("blocked"))
+    verdict = met.groupBy("url", "fetched_at").agg(best.alias("_v")).select(F.col("url").alias("_url"), F.col("fetched_at").alias("_fetched"), "_v")
+    got = plain.join(verdict, (F.col("url") == F.col("_url")) & (F.col("fetched_at") == F.col("_fetched")), "left")
+    fields = [F.col(f"_v.{x}").alias(x) for x in RESULT[:-1]]
+    return got.select(*back, *fields, F.coalesce(F.col("_v.action") == "block", F.lit(False)).alias("blocked"))
 
 
 def _number(text: Column) -> Column:
