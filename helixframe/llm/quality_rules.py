@@ -4,12 +4,16 @@ Every text yields counts. Each rate made of them is put into a quantile sketch p
 source: a histogram whose bins keep SKETCH_BITS leading bits, so that counts of equal bins add up
 in any order and a quantile is known to 1 part in 2 ** (SKETCH_BITS - 1). A text is rejected where
 one of its rates is far above what its language and source have: above the median plus SPREADS
-times the distance between the median and the lower quantile (at least the rule's least distance).
-Groups of fewer than MIN_GROUP texts use the merged sketch of their language, and languages of so
-few the one of all texts. Fixed base rules come first.
+times the distance between the median and the lower quartile, plus the rule's slack. Both quantiles lie
+below the median, so that a source may be junk by half and still be told what is usual. As a rate
+of a short text is a coarse figure, so many hits must be there as well. Where half of a group's texts and
+more have a rate of 0, the slack alone is the limit. Groups of fewer than MIN_GROUP texts use the
+merged sketch of their language, and languages of so few the one of all texts. Fixed base rules come first.
 
 Defined results: null text counts as empty (no words, base_failed); null language or source form
-a group of their own; repeated rows each get a row; an empty table gives an empty result.
+a group of their own; texts of any length are counted whole; repeated rows each get a row; an empty table
+gives an empty result. quality_rules() has the columns it lists; filter_documents() gives all columns of
+docs back, of whatever name.
 """
 
 from __future__ import annotations
@@ -18,26 +22,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 SKETCH_BITS = 6
-SPREADS = 4
+SPREADS = 10
+#: Percents of the lower quantile and the middle.
+LOWER, MIDDLE = 25, 50
 MIN_GROUP = 100
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 
-#: Rate in thousandths: (numerator, denominator, least distance from the median to the threshold's base).
-RULES: dict[str, tuple[str, str, int]] = {
-    "symbols": ("n_symbols", "n_words", 40),
-    "capitals": ("n_capitals", "word_chars", 60),
-    "marks": ("n_marks", "n_words", 60),
-    "dup_lines": ("n_dup_lines", "n_lines", 100),
-    "same_words": ("n_same_words", "n_words", 50),
-    "repeat_words": ("n_repeat_words", "n_words", 75),
+#: Rate in thousandths: (numerator, denominator, slack, least numerator).
+RULES: dict[str, tuple[str, str, int, int]] = {
+    "symbols": ("n_symbols", "n_words", 40, 4),
+    "capitals": ("n_capitals", "word_chars", 20, 8),
+    "marks": ("n_marks", "n_words", 40, 4),
+    "dup_lines": ("n_dup_lines", "n_lines", 250, 4),
+    "same_words": ("n_same_words", "n_words", 20, 4),
+    "repeat_words": ("n_repeat_words", "n_words", 150, 32),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_same_words")
 
@@ -136,7 +142,7 @@ def count_texts(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def rate(rule: str) -> Column:
-    over, under, _ = RULES[rule]
+    over, under, *_ = RULES[rule]
     return F.when(F.col(under) > 0, F.floor(F.lit(1000) * F.col(over) / F.col(under))).otherwise(F.lit(0)).cast("long")
 
 
@@ -153,15 +159,13 @@ def thresholds(counts: DataFrame) -> DataFrame:
     fine = common.cut(long.groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("n")))
 
     def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
-        from pyspark.sql import Window
-
         w = Window.partitionBy(*by, "rule").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         total = Window.partitionBy(*by, "rule")
         at = sketch.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(total))
-        low, mid = (F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bin"))) for q in (10, 50))
-        least = F.create_map(*[F.lit(x) for r in RULES for x in (r, RULES[r][2])])[F.col("rule")]
+        low, mid = (F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bin"))) for q in (LOWER, MIDDLE))
+        slack = F.create_map(*[F.lit(x) for r in RULES for x in (r, RULES[r][2])])[F.col("rule")]
         got = at.groupBy(*by, "rule").agg(low.alias("low"), mid.alias("mid"), F.max("total").alias("total"))
-        got = got.withColumn("limit", F.col("mid") + SPREADS * F.greatest(F.col("mid") - F.col("low"), least))
+        got = got.withColumn("limit", F.col("mid") + SPREADS * (F.col("mid") - F.col("low")) + slack)
         one = [F.max(F.when(F.col("rule") == r, F.col("limit"))).alias(f"limit_{r}") for r in RULES]
         return got.groupBy(*by).agg(F.max("total").alias("total"), *one)
 
@@ -181,7 +185,7 @@ def _judged(counts: DataFrame, limit: DataFrame) -> DataFrame:
     limit = limit.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    hit = F.coalesce(*[F.when(rate(r) > F.col(f"limit_{r}"), F.lit(r)) for r in RULES])
+    hit = F.coalesce(*[F.when((rate(r) > F.col(f"limit_{r}")) & (F.col(RULES[r][0]) >= RULES[r][3]), F.lit(r)) for r in RULES])
     return counts.join(limit, on, "left").select(*counts.columns, failed.alias("base_failed"), hit.alias("rejected_by"), (~failed & hit.isNull()).alias("kept"))
 
 
@@ -208,16 +212,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """The same in DuckDB's SQL: rows for words, windows and lines, and the sketches as counts of bins."""
-    rates = ", ".join(f"CASE WHEN {d} > 0 THEN floor(1000.0::DOUBLE * {n} / {d}) ELSE 0 END::BIGINT AS x_{r}" for r, (n, d, _) in RULES.items())
-    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {least} AS least, x_{r} AS x FROM rated" for r, (_, _, least) in RULES.items())
+    rates = ", ".join(f"CASE WHEN {d} > 0 THEN floor(1000.0::DOUBLE * {n} / {d}) ELSE 0 END::BIGINT AS x_{r}" for r, (n, d, *_) in RULES.items())
+    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {slack} AS slack, x_{r} AS x FROM rated" for r, (_, _, slack, _) in RULES.items())
 
     def level(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
-        return f"""{name}_at AS (SELECT {by}rule, least, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY {by}rule ORDER BY bin) AS upto, sum(sum(n)) OVER (PARTITION BY {by}rule) AS total FROM fine GROUP BY {by}rule, least, bin),
-{name} AS (SELECT {by}rule, max(total) AS total, min(bin) FILTER (upto * 100 >= total * 50) + {SPREADS} * greatest(min(bin) FILTER (upto * 100 >= total * 50) - min(bin) FILTER (upto * 100 >= total * 10), max(least)) AS bound FROM {name}_at GROUP BY {by}rule)"""
+        low, mid = (f"min(bin) FILTER (upto * 100 >= total * {q})" for q in (LOWER, MIDDLE))
+        return f"""{name}_at AS (SELECT {by}rule, slack, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY {by}rule ORDER BY bin) AS upto, sum(sum(n)) OVER (PARTITION BY {by}rule) AS total FROM fine GROUP BY {by}rule, slack, bin),
+{name} AS (SELECT {by}rule, max(total) AS total, {mid} + {SPREADS} * ({mid} - {low}) + max(slack) AS bound FROM {name}_at GROUP BY {by}rule)"""
 
     bound = f"CASE WHEN a.total >= {MIN_GROUP} THEN a.bound WHEN b.total >= {MIN_GROUP} THEN b.bound ELSE c.bound END"
-    order = ", ".join(f"max(CASE WHEN rule = '{r}' AND x_{r} > bound THEN '{r}' END)" for r in RULES)
+    order = ", ".join(f"max(CASE WHEN rule = '{r}' AND x_{r} > bound AND {n} >= {hits} THEN '{r}' END)" for r, (n, _, _, hits) in RULES.items())
     space = "\\x20\\x09-\\x0D"
     return f"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -232,7 +237,7 @@ base AS (SELECT doc.r, doc_id, lang, source, coalesce(n_words, 0) AS n_words, co
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^!?~^=_\\\\{{}}\\[\\]]', '', 'g')) AS n_marks, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_capitals
   FROM doc LEFT JOIN words USING (r) LEFT JOIN hit USING (r) LEFT JOIN again USING (r) LEFT JOIN line USING (r)),
 rated AS (SELECT *, {rates} FROM base),
-fine AS (SELECT lang, source, rule, least, x - x % (2 ** greatest(0, length(bin(x)) - {SKETCH_BITS}))::BIGINT AS bin, count(*) AS n FROM ({long}) GROUP BY ALL),
+fine AS (SELECT lang, source, rule, slack, x - x % (2 ** greatest(0, length(bin(x)) - {SKETCH_BITS}))::BIGINT AS bin, count(*) AS n FROM ({long}) GROUP BY ALL),
 {level("a", "lang, source")},
 {level("b", "lang")},
 {level("c", "")},
