@@ -8,8 +8,10 @@ Base kinds (email, ip, card, phone) stay whatever their score is. Further kinds
 phone, secret) stay where their score reaches LEAST_SCORE and they overlap no base span. Scores are
 in hundredths: a kind's prior, plus what a confirmed checksum and context words add or take.
 
-Defined results: null text counts as empty and has no spans; equal rows each get a row; an empty
-table gives an empty result. Columns that are not asked for with `carry` don't matter.
+Defined results: null text counts as empty and has no spans; texts of any length are searched whole (places of
+spans are folded up, so that time grows with the square of the spans of one text); equal rows each get a row; an empty
+table gives an empty result. Columns that are not asked for with `carry` don't matter; redact() gives all
+columns of docs back, of whatever name.
 """
 
 from __future__ import annotations
