@@ -8,8 +8,18 @@ from collections import Counter
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def near_classes(rows):
-    """{doc_id: class} by all pairs of shingle sets."""
+    """{doc_id: class} by all pairs: shingle sets alike by 0.8, and words in order, by a full alignment."""
     texts = {}
     for i, t in rows:
         texts.setdefault(i, t or "")
@@ -25,7 +35,8 @@ def near_classes(rows):
 
     for a in ids:
         for b in ids:
-            if a < b and (words[a] == words[b] or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+            alike = words[a] == words[b] or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            if a < b and alike and find(a) != find(b) and edit_distance(words[a], words[b]) <= 0.2 * max(len(words[a]), len(words[b])) + 1e-9:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
