@@ -54,5 +54,8 @@ def test_odd_and_empty(spark, odd, bare):
         out = stage(spark, docs, odd)
         assert out.columns == docs.columns, name
         out.collect()
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, docs, odd).collect()
+    assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(r["doc_id"] for r in docs.collect())
+    assert corpus_pipeline.run(spark, odd).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     repeated = mixing.repeat_documents(docs)
     assert repeated.count() == sum(r["copies"] for r in mixing.mix(docs).collect())
