@@ -24,19 +24,26 @@ def categories(present: DataFrame, genomes: int) -> DataFrame:
     return got.withColumn("category", kind)
 
 
-def gathered(each: DataFrame, genomes: int, least_members: int = 2) -> DataFrame:
-    """categories() of presence rows each(genome, family, members, bp), with the rows themselves as an array `parts`.
+#: Genomes that one column of bits holds.
+BITS = 62
 
-    One aggregation by family, without a join back: a family has a row for each genome at most.
+
+def marked(each: DataFrame, genomes: list[str], least_members: int = 2) -> DataFrame:
+    """categories() of presence rows each(genome, family, members, bp), with the genomes as bits in columns _g0, _g1, ..
+
+    One hash aggregation by family, of numbers alone: its rows are unique by genome, so that bits add up.
     """
-    got = each.groupBy("family").agg(F.count("*").alias("frequency"), F.sum("members").cast("long").alias("total_members"), F.sum("bp").cast("long").alias("total_bp"), F.collect_list(F.struct("genome", "members", "bp")).alias("parts"))
-    kind = F.when(F.col("frequency") == genomes, "core").when(F.col("frequency") == 1, "unique").otherwise("accessory")
+    place = F.create_map(*[F.lit(x) for i, g in enumerate(genomes) for x in (g, i)])[F.col("genome")] if genomes else F.lit(None).cast("int")
+    columns = range(-(-len(genomes) // BITS) or 1)
+    bit = lambda c: F.sum(F.when(F.floor(place / BITS) == c, F.expr("1L") * F.pow(F.lit(2), place % BITS).cast("long")).otherwise(0)).cast("long").alias(f"_g{c}")
+    got = each.groupBy("family").agg(F.count("*").alias("frequency"), F.sum("members").cast("long").alias("total_members"), F.sum("bp").cast("long").alias("total_bp"), *[bit(c) for c in columns])
+    kind = F.when(F.col("frequency") == len(genomes), "core").when(F.col("frequency") == 1, "unique").otherwise("accessory")
     return got.where(F.col("total_members") >= least_members).withColumn("category", kind)
 
 
-def parts_of(gathered_families: DataFrame) -> DataFrame:
-    """The presence rows of gathered()."""
-    return gathered_families.select("family", F.explode("parts").alias("_p")).select("_p.genome", "family", "_p.members", "_p.bp")
+def bare(families: DataFrame) -> DataFrame:
+    """marked() without its bits."""
+    return families.drop(*[c for c in families.columns if c.startswith("_g")])
 
 
 def category_totals(families: DataFrame) -> DataFrame:
@@ -62,17 +69,19 @@ def genome_summary(present: DataFrame, families: DataFrame) -> DataFrame:
     return with_kind.groupBy("genome").agg(F.count("*").alias("families"), *kinds, F.sum("bp").cast("long").alias("bp"))
 
 
-def pairwise(present: DataFrame, genomes: list[str]) -> DataFrame:
-    """genome_i < genome_j, shared, union_size, jaccard of each two genomes.
+def pairwise(families: DataFrame, genomes: list[str]) -> DataFrame:
+    """genome_i < genome_j, shared, union_size, jaccard of each two genomes, from marked() families.
 
-    Each family holds the sorted array of its genomes once; families of equal arrays are counted
-    together before pairs are made, at most N * N / 2 of each distinct array.
+    Families of the same genomes are counted together before pairs are made, at most N * N / 2 for each distinct set.
     """
-    sets = present.groupBy("family").agg(F.array_sort(F.collect_set("genome")).alias("_set")).groupBy("_set").agg(F.count("*").alias("_n"))
+    columns = [c for c in families.columns if c.startswith("_g")]
+    sets = families.groupBy(*columns).agg(F.count("*").alias("_n"))
+    has = [F.when(F.col(f"_g{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS))) != 0, F.lit(g)) for i, g in enumerate(genomes)]
+    sets = sets.select(F.array_compact(F.array(*has)).alias("_set") if has else F.array().cast("array<string>").alias("_set"), "_n")
     size = sets.select(F.explode("_set").alias("genome"), "_n").groupBy("genome").agg(F.sum("_n").alias("size"))
     pairs = F.expr("flatten(transform(_set, (a, i) -> transform(slice(_set, i + 2, size(_set)), b -> struct(a AS a, b AS b))))")
     shared = sets.select(F.explode(pairs).alias("_p"), "_n").groupBy(F.col("_p.a").alias("genome_i"), F.col("_p.b").alias("genome_j")).agg(F.sum("_n").alias("shared"))
-    every = present.sparkSession.createDataFrame([(a, b) for i, a in enumerate(genomes) for b in genomes[i + 1 :]], "genome_i string, genome_j string")
+    every = families.sparkSession.createDataFrame([(a, b) for i, a in enumerate(genomes) for b in genomes[i + 1 :]], "genome_i string, genome_j string")
     one, two = size.select(F.col("genome").alias("genome_i"), F.col("size").alias("_i")), size.select(F.col("genome").alias("genome_j"), F.col("size").alias("_j"))
     got = every.join(shared, ["genome_i", "genome_j"], "left").join(one, "genome_i", "left").join(two, "genome_j", "left").na.fill(0, ["shared", "_i", "_j"])
     union = F.col("_i") + F.col("_j") - F.col("shared")
