@@ -23,6 +23,13 @@ for _i, _c in enumerate("acgt"):
     _CODE[ord(_c)] = _CODE[ord(_c.upper())] = _i
 
 
+def checked(k: int) -> int:
+    """k, if a window of so many bases fits into the 62 bits that stay positive."""
+    if not 1 <= k <= 31:
+        raise ValueError(f"k-mers have 1 to 31 bases, not {k}")
+    return k
+
+
 def packed(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the valid windows, their canonical values, and whether they are their own reverse complement."""
     n = len(codes) - k + 1
@@ -53,6 +60,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, np.
 def windows(seqs: DataFrame, k: int) -> DataFrame:
     """seq_id, pos (from 0), ck (packed canonical k-mer), own (it is its own reverse complement)."""
     kind = _id_type(seqs)
+    checked(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq_id, codes in _records(batches):

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,17 +62,34 @@ def runs(starts: DataFrame, k: int, least: int) -> DataFrame:
 
 
 def runs_without(starts: DataFrame, k: int, least: int, excluded: DataFrame) -> DataFrame:
-    """runs() where the bases of excluded (seq_id, start, len) count as uncovered: by base, but of covered ones only."""
-    w = Window.partitionBy("seq_id").orderBy("pos")
-    upto = F.least(F.coalesce(F.lead("pos").over(w), F.lit(_FAR)) - 1, F.col("pos") + k - 1)
-    back = F.lag("pos", least - 1).over(w) if least > 1 else F.col("pos")
-    spans = starts.withColumn("_to", upto).withColumn("_high_to", F.coalesce(back + k - 1, F.lit(-1)))
-    bases = spans.select("seq_id", "_high_to", F.explode(F.sequence("pos", "_to")).alias("base"))
-    barred = excluded.select("seq_id", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("base"))
-    free = bases.join(barred, ["seq_id", "base"], "left_anti")
-    past = F.lag("base").over(Window.partitionBy("seq_id").orderBy("base"))
-    high = F.sum(F.when(F.col("base") <= F.col("_high_to"), 1).otherwise(0))
-    return joined(free, "seq_id", "base", past.isNull() | (F.col("base") - past > 1), [F.min("base").alias("first"), F.max("base").alias("last"), high.alias("high")])
+    """runs() where the bases of excluded (seq_id, start, len) count as uncovered: segment by segment, from starts and spans alone."""
+    kind = kmers._id_type(starts)
+    spans = starts.select("seq_id", F.col("pos").alias("first"), (F.col("pos") + k - 1).alias("last"), F.lit(False).alias("barred"))
+    bars = excluded.where("len > 0").select("seq_id", F.col("start").alias("first"), (F.col("start") + F.col("len") - 1).alias("last"), F.lit(True).alias("barred"))
+    # spans of records that no repeated window is in have nothing to take away
+    dealt = spans.unionByName(bars.join(starts.select("seq_id").distinct(), "seq_id", "left_semi"))
+    dealt = dealt.withColumn("seg", F.explode(F.sequence(F.floor(F.col("first") / SEGMENT), F.floor(F.col("last") / SEGMENT))))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        base = int(key[1]) * SEGMENT
+        end = min(SEGMENT, int(pdf["last"].max()) - base + 1)
+        first, last, barred = (pdf[c].to_numpy() for c in ("first", "last", "barred"))
+
+        def times(mine: np.ndarray) -> np.ndarray:
+            edge = np.zeros(end + 1, np.int64)
+            np.add.at(edge, np.maximum(first[mine] - base, 0), 1)
+            np.add.at(edge, np.minimum(last[mine] - base + 1, end), -1)
+            return np.cumsum(edge[:end])
+
+        over = np.where(times(barred) > 0, 0, times(~barred))
+        turn = np.diff(np.concatenate(([0], (over > 0).astype(np.int8), [0])))
+        begin, stop = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        high = np.concatenate(([0], np.cumsum(over >= least)))
+        return pd.DataFrame({"seq_id": [key[0]] * len(begin), "first": begin + base, "last": stop - 1 + base, "high": high[stop] - high[begin]})
+
+    found = dealt.groupBy("seq_id", "seg").applyInPandas(run, f"seq_id {kind}, first long, last long, high long")
+    past = F.lag("last").over(Window.partitionBy("seq_id").orderBy("first"))
+    return joined(found, "seq_id", "first", past.isNull() | (F.col("first") - past > 1), [F.min("first").alias("first"), F.max("last").alias("last"), F.sum("high").alias("high")])
 
 
 def build_blocks(covered: DataFrame, lengths: DataFrame, k: int, min_len: int) -> DataFrame:
