@@ -41,6 +41,16 @@ def from_text(x: Column) -> Column:
     return F.translate(kept, TEXT_LETTERS + TEXT_LETTERS.upper(), TEXT_BASES * 2)
 
 
+#: The same where rare letters are no base: gaps, and ambiguous ones.
+GAPPED_BASES = "".join({"j": "n", "q": "n", "x": "n", "z": "n", "k": "r", "y": "y"}.get(letter, base) for letter, base in zip(TEXT_LETTERS, TEXT_BASES, strict=True))
+
+
+def from_text_with_gaps(x: Column) -> Column:
+    """from_text() where j, q, x and z are gaps, and k and y ambiguous letters."""
+    kept = F.regexp_replace(F.coalesce(x, F.lit("")), "[^A-Za-z]", "")
+    return F.translate(kept, TEXT_LETTERS + TEXT_LETTERS.upper(), GAPPED_BASES * 2)
+
+
 def complement(x: Column) -> Column:
     return F.translate(x, _CASED, COMPLEMENTS * 2)
 
@@ -95,6 +105,26 @@ def svg_step(rows: Column) -> Column:
     return reduce(lambda acc, x: F.when(rows > x[0], x[1]).otherwise(acc), ((100, 14), (200, 13), (300, 12), (400, 11), (500, 10)), F.lit(16))
 
 
+def escaped(x: Column) -> Column:
+    """x as text of XML."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        x = F.replace(x, F.lit(sign), F.lit(name))
+    return x
+
+
+def thousands(x: Column) -> Column:
+    """A whole number with a comma before each three digits."""
+    return F.format_number(x, 0)
+
+
+def lenient_int_of(x: Column) -> Column:
+    """lenient_int() of a column."""
+    head = F.regexp_extract(x, r"^([^.,]*)", 1)
+    digits = F.substr(F.regexp_replace(head, "[^0-9]", ""), F.lit(1), F.lit(11))
+    value = F.when(F.startswith(F.regexp_replace(head, r"^\s+", ""), F.lit("-")), -digits.try_cast("long")).otherwise(digits.try_cast("long"))
+    return F.when(digits != "", F.greatest(F.lit(-(2**31)), F.least(F.lit(2**31 - 1), value))).cast("long")
+
+
 def lenient_int(text: str) -> int | None:
     """The digits of text up to a point or comma, as an integer of 32 bits at most; None without a digit."""
     head = text.replace(",", ".").split(".")[0]

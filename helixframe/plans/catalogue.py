@@ -93,7 +93,7 @@ def _ssr() -> str:
     """ssr: seq_id, start, len; ssrbase: seq_id, base. Each unit's islands of letters that equal the one a unit before."""
     return f"""letters AS (SELECT seq_id, unnest(range(0, length(seq))) AS i, unnest(string_split(seq, '')) AS c FROM seqs WHERE length(seq) > 0),
 lagged AS (SELECT seq_id, i, c, {", ".join(f"lag(c, {u}) OVER (PARTITION BY seq_id ORDER BY i) AS c{u}" for u in range(1, ssr.MAX_UNIT + 1))} FROM letters),
-eq AS ({" UNION ALL ".join(f"SELECT seq_id, i, {u} AS u FROM lagged WHERE c = c{u}" for u in range(1, ssr.MAX_UNIT + 1))}),
+eq AS ({" UNION ALL ".join(f"SELECT seq_id, i, {u} AS u FROM lagged WHERE c = c{u} AND c IN ('a', 'c', 'g', 't')" for u in range(1, ssr.MAX_UNIT + 1))}),
 eqi AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, u ORDER BY i) AS g FROM eq),
 tan AS (SELECT seq_id, min(i) - u AS s, max(i) AS e FROM eqi GROUP BY seq_id, u, g HAVING count(*) + u >= greatest({ssr.LEAST}, {ssr.COPIES} * u)),
 tmk AS (SELECT *, coalesce(max(e) OVER (PARTITION BY seq_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 < s, true) AS new FROM tan),
@@ -336,14 +336,18 @@ present AS (SELECT pres.* FROM pres JOIN fam USING (family))"""
 
 
 def _families(spark: SparkSession, sf_dir: str, genome: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """present, families, names of the genomes."""
+    """present, families (marked with their genomes), names of the genomes."""
     seqs = documents(spark, sf_dir, genome).withColumn("genome", F.coalesce(genome, F.lit("")))
     names = sorted(r["genome"] for r in table(spark, sf_dir, "documents").select(F.coalesce(genome, F.lit("")).alias("genome")).distinct().collect())
     # the genome is the windows' id, so that they are counted by genome before they meet by family
-    found = kmers.windows(seqs.select(F.col("genome").alias("seq_id"), "seq"), K)
-    each = found.groupBy(F.col("seq_id").alias("genome"), F.col("ck").alias("family")).agg(F.count("*").alias("members")).withColumn("bp", F.col("members") * K)
-    fam = cut(families.gathered(each, len(names)))  # what stands once only is gone before it is stored
-    return families.parts_of(fam), fam.drop("parts"), names
+    found = kmers.windows(seqs.select(F.col("genome").alias("seq_id"), "seq"), K).select(F.col("seq_id").alias("genome"), F.col("ck").alias("family"))
+
+    def counted(windows: DataFrame) -> DataFrame:
+        return windows.groupBy("genome", "family").agg(F.count("*").alias("members")).withColumn("bp", F.col("members") * K)
+
+    fam = cut(families.marked(counted(found), names))  # what stands once only is gone before it is stored
+    # who wants the rows by genome counts them again, but only windows of these families
+    return counted(found.join(fam.select("family"), "family", "left_semi")), fam, names
 
 
 def _letters(df: DataFrame) -> DataFrame:
@@ -357,7 +361,7 @@ def family_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_families_sql('lang')} SELECT * FROM fam")
 def family_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _letters(_families(spark, sf_dir, "lang")[1])
+    return _letters(families.bare(_families(spark, sf_dir, "lang")[1]))
 
 
 @query(f"WITH {_families_sql('lang')} SELECT category, count(*) AS families, sum(total_bp)::BIGINT AS bp FROM fam GROUP BY category")
@@ -392,18 +396,18 @@ SELECT a.genome AS genome_i, b.genome AS genome_j, coalesce(shared, 0) AS shared
 FROM size a JOIN size b ON a.genome < b.genome LEFT JOIN shared s ON s.genome_i = a.genome AND s.genome_j = b.genome"""
 )
 def pairwise_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    present, _, names = _families(spark, sf_dir, "source")
-    return families.pairwise(present, names)
+    _, fam, names = _families(spark, sf_dir, "source")
+    return families.pairwise(fam, names)
 
 
 @query(
-    f"WITH {_families_sql('lang')} SELECT fam.*, "
-    + ", ".join(f"coalesce((SELECT sum(members) FROM present p WHERE p.family = fam.family AND genome = '{g}'), 0)::BIGINT AS {g}" for g in ("de", "en", "es", "fr"))
-    + " FROM fam"
+    f"WITH {_families_sql('lang')} SELECT fam.*, wide.* EXCLUDE (family) FROM fam JOIN (SELECT family, "
+    + ", ".join(f"coalesce(sum(members) FILTER (genome = '{g}'), 0)::BIGINT AS {g}" for g in ("de", "en", "es", "fr"))
+    + " FROM present GROUP BY family) wide ON wide.family = fam.family"
 )
 def presence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     present, fam, names = _families(spark, sf_dir, "lang")
-    return _letters(families.matrix(present, fam, names))
+    return _letters(families.matrix(present, families.bare(fam), names))
 
 
 @query(f"WITH {_families_sql('lang')} SELECT genome, family, members, bp FROM present JOIN fam USING (family) WHERE category = 'unique'")
@@ -436,7 +440,18 @@ def containment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.containment(_block_sequences(spark, sf_dir), K)
 
 
-@query()
+def _greedy(scope: str = "0") -> str:
+    """taken: seq_id, seed; families: seed, cluster_id. A pass over blocks by falling length, which keeps the list of seeds."""
+    return f"""ord AS (SELECT seq_id, {scope} AS scope, row_number() OVER (ORDER BY -len, record, start) AS rn FROM bseq),
+lk AS (SELECT m.rn AS m, list(s.rn) AS ss FROM edges JOIN ord s ON s.seq_id = seed JOIN ord m ON m.seq_id = member GROUP BY m.rn),
+step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS seeds, 0::BIGINT AS got
+  UNION ALL SELECT i + 1, CASE WHEN t IS NULL THEN list_append(seeds, i + 1) ELSE seeds END, coalesce(t, i + 1)
+  FROM (SELECT i, seeds, list_min(list_intersect(ss, seeds)) AS t FROM step LEFT JOIN lk ON m = i + 1 WHERE i < (SELECT count(*) FROM ord))),
+taken AS (SELECT m.seq_id, s.seq_id AS seed, s.rn, m.scope FROM step JOIN ord m ON m.rn = i JOIN ord s ON s.rn = got WHERE i > 0),
+families AS (SELECT seed, dense_rank() OVER (PARTITION BY scope ORDER BY rn) + 2 AS cluster_id FROM (SELECT seed, rn, scope FROM taken GROUP BY seed, rn, scope HAVING count(*) > 1))"""
+
+
+@query(f"WITH RECURSIVE {_BLOCK_BASE}, {_EDGES}, {_greedy()} SELECT record, start, len, seed, coalesce(cluster_id, 2)::BIGINT AS cluster_id FROM bseq JOIN taken USING (seq_id) LEFT JOIN families USING (seed)")
 def containment_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _block_sequences(spark, sf_dir)
     got = clustering.numbered(blocks, clustering.clusters(blocks, clustering.containment(blocks, K)))
@@ -473,20 +488,37 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("vec_id", F.round(F.col("d") / (F.sqrt("a") * F.sqrt("b")), 4).alias("cosine"))
 
 
+_WIDTHS = f"widths AS (SELECT unnest([{', '.join(map(str, clustering.WIDTHS))}]) AS width)"
+_COMPOSITION = f"""{_WIDTHS}, quad AS (SELECT seq_id, p, substr(seq, (p + 1)::BIGINT, 4) AS w FROM (SELECT seq_id, seq, unnest(range(0, greatest(length(seq) - 3, 0))) AS p FROM bseq)),
+good AS (SELECT * FROM quad WHERE regexp_full_match(w, '[acgt]{{4}}')),
+mem AS (SELECT b.*, coalesce((SELECT max(width) FROM widths WHERE width <= b.len), {clustering.WIDTHS[0]}) AS width FROM bseq b),
+prof AS (SELECT seq_id, w, count(*) AS n FROM good GROUP BY seq_id, w), norm AS (SELECT seq_id, sqrt(sum(n * n)) AS norm FROM prof GROUP BY seq_id),
+spread AS (SELECT g.seq_id, width, p // (width // 4) + unnest([-3, -2, -1, 0]) AS j, w FROM good g, (SELECT DISTINCT width FROM mem)),
+win AS (SELECT s.seq_id, width, j, w, count(*) AS n FROM spread s JOIN bseq b ON b.seq_id = s.seq_id WHERE j >= 0 AND j + 3 < greatest(length(seq) - 3, 0) // (width // 4) GROUP BY s.seq_id, width, j, w),
+part AS (SELECT seq_id, width, j, w, n FROM win UNION ALL SELECT seq_id, 0, -1, w, n FROM prof), pnorm AS (SELECT seq_id, width, j, sqrt(sum(n * n)) AS norm FROM part GROUP BY ALL),
+flip AS (SELECT seq_id, w, n, 'f' AS way FROM prof UNION ALL SELECT seq_id, reverse(translate(w, 'acgt', 'tgca')), n, 'r' FROM prof),
+dots AS (SELECT a.seq_id AS seed, m.seq_id AS member, a.width, j, way, sum(a.n * f.n) AS d FROM part a JOIN flip f ON f.w = a.w JOIN mem m ON m.seq_id = f.seq_id AND a.width IN (0, m.width) JOIN bseq x ON x.seq_id = a.seq_id WHERE (-x.len, x.record, x.start) < (-m.len, m.record, m.start) GROUP BY ALL),
+near AS (SELECT seed, member, round(coalesce(max(d / (p.norm * n.norm)) FILTER (way = 'f'), 0), 6) AS cosine, round(coalesce(max(d / (p.norm * n.norm)) FILTER (way = 'r'), 0), 6) AS cosine_reverse
+  FROM dots JOIN pnorm p ON p.seq_id = seed AND p.width = dots.width AND p.j = dots.j JOIN norm n ON n.seq_id = member GROUP BY seed, member)"""
+
+
+@query(f"WITH {_BLOCK_BASE}, {_COMPOSITION} SELECT seed, member, cosine, cosine_reverse FROM near WHERE greatest(cosine, cosine_reverse) >= 0.9")
+def profile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composition against the best window of the member's scale, or the whole seed: all pairs that come near."""
+    return clustering.composition(_block_sequences(spark, sf_dir), least=0.9)
+
+
 @query()
 def chance_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _block_sequences(spark, sf_dir)
-    return clustering.chance_floor(blocks, clustering.containment(blocks, 11, 0.1))
+    """What cosine chance gives windows of each scale; on a stated sample, so that there is no SQL."""
+    return clustering.chance_floor(documents(spark, sf_dir))
 
 
 @query()
 def profile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links are pairs that share k-mers and whose composition is closer than chance at the member's scale."""
+    """Links are pairs whose composition, by windows, is closer than chance at the member's scale."""
     blocks = _block_sequences(spark, sf_dir)
-    candidates = cut(clustering.containment(blocks, 11, 0.1))
-    floors = clustering.chance_floor(blocks, candidates)
-    near = clustering.cosines(candidates, clustering.profiles(blocks)).join(blocks.select(F.col("seq_id").alias("member"), F.floor(F.log2("len")).cast("long").alias("scale")), "member").join(F.broadcast(floors), "scale", "left")
-    links = near.where(F.greatest("cosine", "cosine_reverse") > F.coalesce("floor", F.lit(clustering.USUAL_FLOOR))).withColumn("strand", F.when(F.col("cosine_reverse") > F.col("cosine"), "-").otherwise("+"))
+    links = cut(clustering.with_strand(clustering.composition(blocks, clustering.chance_floor(documents(spark, sf_dir)))))
     got = clustering.numbered(blocks, clustering.clusters(blocks, links))
     strand = links.select("seed", F.col("member").alias("seq_id"), "strand")
     return got.join(strand, ["seed", "seq_id"], "left").select("record", "start", "len", "seed", "cluster_id", F.coalesce("strand", F.lit("+")).alias("strand"))

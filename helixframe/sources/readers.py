@@ -63,16 +63,20 @@ def read_fasta(spark: SparkSession, path: str, keep_case: bool = False, whole_na
 def read_library(spark: SparkSession, paths: list[str]) -> DataFrame:
     """ref_id (from 1), ref_name (whole header), seq: the libraries one after another. Missing files are none."""
     got = None
-    for order, path in enumerate(paths):
+    n = 0
+    for path in paths:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             continue
-        one = read_fasta(spark, path, whole_names=True).withColumn("_order", F.lit(order))
+        one = library(read_fasta(spark, path, whole_names=True)).withColumn("ref_id", F.col("ref_id") + n)
+        n += one.count()  # ids go on from one library to the next, without a window over their sequences
         got = one if got is None else got.unionByName(one)
-    if got is None:
-        return spark.createDataFrame([], "ref_id long, ref_name string, seq string")
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_order", "seq_id"))
-    return got.select(at.cast("long").alias("ref_id"), F.col("name").alias("ref_name"), "seq")
+    return spark.createDataFrame([], "ref_id long, ref_name string, seq string") if got is None else got
+
+
+def library(records: DataFrame) -> DataFrame:
+    """ref_id (from 1), ref_name, seq of records(seq_id from 0, name, seq)."""
+    return records.select((F.col("seq_id") + 1).alias("ref_id"), F.col("name").alias("ref_name"), "seq")
 
 
 def from_strings(spark: SparkSession, texts: list[str], keep_case: bool = False) -> DataFrame:
@@ -82,23 +86,38 @@ def from_strings(spark: SparkSession, texts: list[str], keep_case: bool = False)
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """seqid, type, cluster_id, start (from 0), len, strand, at: the rows of an annotation table with seven fields at least."""
+    """seqid, type, cluster_id, start (from 0), len, strand, file, block, at: the rows of an annotation table with seven fields at least."""
+    return annotations(_lines(spark, path))
+
+
+def annotations(lines: DataFrame) -> DataFrame:
+    """The same of lines(file, block, at, line)."""
     d = F.split("line", "\t")
-    rows = _lines(spark, path).where(~F.col("line").startswith("#") & ~F.col("line").startswith("Seqid") & (F.size(d) >= 7))
+    rows = lines.where(~F.col("line").startswith("#") & ~F.col("line").startswith("Seqid") & (F.size(d) >= 7))
     field = lambda i: F.trim(d[i])
     return rows.select(
         d[0].alias("seqid"), d[1].alias("type"), field(2).try_cast("int").alias("cluster_id"), (field(3).try_cast("long") - 1).alias("start"), field(5).try_cast("long").alias("len"), field(6).alias("strand"), "file", "block", "at"
     ).where("cluster_id is not null and start is not null and len is not null")
 
 
+def annotated_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """file, n: the length that the head of each annotation table tells, with or without a number sign."""
+    told = F.regexp_extract("line", r"^#?Sequence length \(bp\)=\s*(\d+)", 1).try_cast("long")
+    return _lines(spark, path).select("file", "block", "at", told.alias("n")).where("n is not null").groupBy("file").agg(F.min_by("n", F.struct("block", "at")).alias("n"))
+
+
 def annotated_length(spark: SparkSession, path: str) -> int:
-    """The length that an annotation table's head tells, with or without a number sign; 0 if it tells none."""
-    found = _lines(spark, path).select(F.regexp_extract("line", r"^#?Sequence length \(bp\)=\s*(\d+)", 1).try_cast("long").alias("n")).where("n is not null")
-    row = found.limit(1).collect()
+    """The same of one table; 0 if it tells none."""
+    row = annotated_lengths(spark, path).limit(1).collect()
     return row[0]["n"] if row else 0
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """pair, file1, file2: names beside each other, apart by blanks or tabs."""
-    d = F.split(F.trim("line"), "[\t ]+")
-    return _lines(spark, path).where(F.size(d) >= 2).select((F.col("block") * (1 << 33) + F.col("at")).alias("pair"), d[0].alias("file1"), d[1].alias("file2"))
+    return pairs(_lines(spark, path).withColumn("pair", F.col("block") * (1 << 33) + F.col("at")))
+
+
+def pairs(lines: DataFrame) -> DataFrame:
+    """The same of lines(pair, line)."""
+    d = F.split(F.regexp_replace("line", "^[\t ]+|[\t ]+$", ""), "[\t ]+")
+    return lines.where(F.size(d) >= 2).select("pair", d[0].alias("file1"), d[1].alias("file2"))

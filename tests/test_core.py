@@ -184,6 +184,68 @@ def test_alignment_masks_copies(spark):
     assert len(starts) == 3 and all(abs(a - b) <= 40 for a, b in zip(starts, (200, 520, 840), strict=True))
 
 
+def brute_alignment(s, k, least):
+    """Marks by reading each pair letter by letter, in order, on both strands."""
+    n, code = len(s), {"a": 0, "c": 1, "g": 2, "t": 3}
+    own = [code.get(x, 4) for x in s]
+    both = own + [4] + [3 - x if x < 4 else 4 for x in reversed(own)]
+    end = lambda p: n if p < n else 2 * n + 1
+    places = {}
+    for p in [*range(n - k + 1), *range(n + 1, 2 * n + 2 - k)]:
+        if 4 not in both[p : p + k]:
+            places.setdefault(tuple(both[p : p + k]), []).append(p)
+    mark = [False] * (2 * n + 1)
+    for ps in sorted(places.values()):
+        for i, x in enumerate(ps):
+            for y in ps[i + 1 :]:
+                if mark[x] or mark[y]:
+                    continue
+                h, chain = k, []
+                while h < min(end(x) - x, end(y) - y) and not both[x + h] == both[y + h] == 4:
+                    if both[x + h] != both[y + h]:
+                        chain = [*chain, h] if chain and h - chain[-1] <= 2 else [h]
+                        if len(chain) == 4:
+                            h -= 3
+                            break
+                    h += 1
+                if h > least:
+                    for r in range(h):
+                        mark[x + r] = mark[y + r if y < n else 2 * n - y - r] = True
+    hit = [i for i in range(n) if mark[i]]
+    out = {*hit}
+    for a, b in zip(hit, hit[1:], strict=False):
+        if b - a <= least + 1:
+            out.update(range(a, b))
+    return out
+
+
+def test_alignment_against_brute_force():
+    """Copies on both strands, changed letters, gaps: the marks of all records are those of a pass letter by letter."""
+    marked = 0
+    for seed in range(400):
+        rng = random.Random(seed)
+        s = "".join(rng.choice("acgt") for _ in range(rng.randint(0, 120)))
+        for _ in range(rng.randint(0, 4)):
+            if len(s) > 20:
+                a = rng.randrange(len(s) - 10)
+                part = list(s[a : a + rng.randint(8, 50)])
+                for _ in range(rng.randint(0, 4)):
+                    part[rng.randrange(len(part))] = rng.choice("acgtn")
+                part, at = "".join(part), rng.randrange(len(s))
+                s = s[:at] + (part[::-1].translate(FLIP) if rng.random() < 0.5 else part) + s[at:]
+        k, least = rng.choice((3, 4, 5, 7)), rng.choice((3, 6, 10, 14))
+        got = alignment.masked(kmers._CODE[np.frombuffer(s.encode(), np.uint8)], k, least)
+        assert set(np.flatnonzero(got).tolist()) == brute_alignment(s, k, least)
+        marked += got.any()
+    assert marked > 200
+
+
+def test_longest_kmers(spark):
+    with pytest.raises(ValueError):
+        kmers.windows(table(spark, ["acgt"]), 32)
+    assert kmers.windows(table(spark, ["acgt" * 8]), 31).count() == 2
+
+
 def test_coordinates(spark, monkeypatch):
     monkeypatch.setattr(coords, "BUCKET", 3)
     monkeypatch.setattr(coords, "BIN", 8)
@@ -203,7 +265,8 @@ def test_families(spark):
     fam = families.categories(present, 3).cache()
     assert {r["family"]: (r["category"], r["frequency"], r["total_bp"]) for r in fam.collect()} == {1: ("core", 3, 41), 2: ("unique", 1, 5), 3: ("accessory", 2, 16)}
     assert [(r["present_in"], r["families"]) for r in families.spectrum(fam, 3).orderBy("present_in").collect()] == [(1, 1), (2, 1), (3, 1)]
-    pairs = {(r["genome_i"], r["genome_j"]): (r["shared"], r["union_size"], r["jaccard"]) for r in families.pairwise(present, ["a", "b", "c", "d"]).collect()}
+    marked = families.marked(present, ["a", "b", "c", "d"], 0)
+    pairs = {(r["genome_i"], r["genome_j"]): (r["shared"], r["union_size"], r["jaccard"]) for r in families.pairwise(marked, ["a", "b", "c", "d"]).collect()}
     assert pairs[("a", "b")] == (1, 3, 0.3333) and pairs[("b", "c")] == (2, 2, 1.0) and pairs[("a", "d")] == (0, 2, 0.0) and len(pairs) == 6
     wide = {r["family"]: (r["a"], r["b"], r["c"]) for r in families.matrix(present, fam, ["a", "b", "c"]).collect()}
     assert wide == {1: (3, 1, 1), 2: (1, 0, 0), 3: (0, 1, 2)}
@@ -251,6 +314,117 @@ def test_planted_families(spark):
         assert (r["cosine_reverse"] > r["cosine"]) == (a % 2 != b % 2)
 
 
+def mutated(rng, s, share):
+    return "".join(rng.choice([x for x in "acgt" if x != c]) if rng.random() < share else c for c in s)
+
+
+def named_blocks(spark, seqs):
+    return spark.createDataFrame([(f"0:{i}", "0", i, len(s), s) for i, s in enumerate(seqs)], "seq_id string, record string, start long, len long, seq string")
+
+
+def test_containment_against_brute_force(spark):
+    rng = random.Random(7)
+    new = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    hot = new(30)  # stands in all blocks
+    units = [new(200) for _ in range(4)]
+    seqs = [hot + mutated(rng, rng.choice(units)[rng.randint(0, 60) :], 0.01) + hot for _ in range(40)]
+    sets = [{min(s[i : i + 11], s[i : i + 11][::-1].translate(FLIP)) for i in range(len(s) - 10)} for s in seqs]
+    order = sorted(range(40), key=lambda i: (-len(seqs[i]), i))
+    for least in (0.5, 0.2, 0.9):
+        want = {(f"0:{a}", f"0:{b}"): (len(sets[a] & sets[b]), len(sets[b])) for x, a in enumerate(order) for b in order[x + 1 :] if round(len(sets[a] & sets[b]) / len(sets[b]), 6) >= least}
+        got = {(r["seed"], r["member"]): (r["shared"], r["distinct_kmers"]) for r in clustering.containment(named_blocks(spark, seqs), 11, least).collect()}
+        assert got == want
+
+
+def test_composition_against_brute_force(spark):
+    """Whole blocks and windows of the member's scale, on both strands, over several tiles."""
+    rng = random.Random(8)
+    new = lambda n: "".join(rng.choice("acgtn" if rng.random() < 0.05 else "acgt") for _ in range(n))
+    seqs = [new(rng.randint(3, 260)) for _ in range(30)]
+    seqs += [s[20 : 20 + rng.randint(30, 90)][::-1].translate(FLIP) for s in seqs[:6] if len(s) > 120]
+
+    def counts(s):
+        out = {}
+        for i in range(len(s) - 3):
+            if set(s[i : i + 4]) <= set("acgt"):
+                out[s[i : i + 4]] = out.get(s[i : i + 4], 0) + 1
+        return out
+
+    def cosine(a, b):
+        size = sum(x * x for x in a.values()) * sum(x * x for x in b.values())
+        return sum(n * b.get(w, 0) for w, n in a.items()) / size**0.5 if size else 0.0
+
+    want = {}
+    order = sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), i))
+    for x, a in enumerate(order):
+        for b in order[x + 1 :]:
+            width = max([w for w in clustering.WIDTHS if w <= len(seqs[b])], default=clustering.WIDTHS[0])
+            step, m = width // 4, max(0, len(seqs[a]) - 3)
+            parts = [seqs[a]] + [seqs[a][j * step : j * step + width + 3] for j in range(m // step - 3)]
+            mine = counts(seqs[b])
+            turned = {w[::-1].translate(FLIP): n for w, n in mine.items()}
+            both = [max(cosine(counts(p), other) for p in parts) for other in (mine, turned)]
+            if max(both) >= 0.6:
+                want[f"0:{a}", f"0:{b}"] = tuple(both)
+    for tile in (1000, 7):
+        got = {(r["seed"], r["member"]): (r["cosine"], r["cosine_reverse"]) for r in clustering.composition(named_blocks(spark, seqs), least=0.6, tile=tile).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[p], want[p], atol=1e-6) for p in want)
+
+
+def simulated(spark, divergence, size, families_, copies, seed):
+    """Scores of both measures on planted families in one genome: (precision, recall) over pairs of copies, half of them turned round."""
+    rng = random.Random(seed)
+    new = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    units = [new(size) for _ in range(families_)]
+    placed = [(f, rng.random() < 0.5) for f in range(families_) for _ in range(copies)]
+    rng.shuffle(placed)
+    seqs, genome = [], ""
+    for f, turned in placed:
+        s = mutated(rng, units[f], divergence)
+        s = s[::-1].translate(FLIP) if turned else s
+        seqs.append(s)
+        genome += new(300) + s
+    blocks = named_blocks(spark, seqs)
+    out = {}
+    floors = clustering.chance_floor(table(spark, [genome[i : i + 20_000] for i in range(0, len(genome), 20_000)]))
+    for measure, links in (("profile", clustering.composition(blocks, floors)), ("containment", clustering.containment(blocks, 11))):
+        ids = {r["start"]: r["cluster_id"] for r in clustering.numbered(blocks, clustering.clusters(blocks, links)).collect()}
+        together = [(i, j) for i in ids for j in ids if i < j and ids[i] == ids[j] > 2]
+        true = sum(placed[i][0] == placed[j][0] for i, j in together)
+        out[measure] = (true / max(1, len(together)), true / (families_ * copies * (copies - 1) / 2))
+    return out
+
+
+def test_measures_on_planted_families(spark):
+    """Few changes: both measures find the families. Many: exact k-mers are gone, and composition still does."""
+    near = simulated(spark, 0.02, 800, 12, 10, 1)
+    assert near["profile"][0] >= 0.95 and near["profile"][1] >= 0.9 and near["containment"][0] >= 0.95 and near["containment"][1] >= 0.9
+    far = simulated(spark, 0.12, 800, 12, 10, 2)
+    assert far["profile"][0] >= 0.9 and far["profile"][1] >= 0.5 and far["profile"][1] > far["containment"][1] + 0.3
+
+
+def test_part_of_a_longer_block(spark):
+    """A short element that copies a part of a long block is linked by windows, where the whole block's composition hides it."""
+    rng = random.Random(10)
+    new = lambda n, letters="acgt": "".join(rng.choice(letters) for _ in range(n))
+    inner = new(240, "aacg")
+    long = new(900, "ggtca") + inner + new(1400, "ttacg")
+    blocks = named_blocks(spark, [long, mutated(rng, inner, 0.05)])
+    windows = clustering.composition(blocks).head()
+    whole = clustering.cosines(spark.createDataFrame([("0:0", "0:1")], "seed string, member string"), clustering.profiles(blocks)).head()
+    assert windows["cosine"] > 0.9 > whole["cosine"] + 0.05
+
+
+def test_clusters_of_each_record(spark):
+    blocks = spark.createDataFrame([(f"{r}:{i}", r, i, 300 - i, "acgtta" * 50) for r in "ab" for i in range(3)], "seq_id string, record string, start long, len long, seq string")
+    links = clustering.containment(blocks, 11, by=("record",))
+    got = {r["seq_id"]: (r["seed"], r["cluster_id"]) for r in clustering.numbered(blocks, clustering.clusters(blocks, links), ("record",)).collect()}
+    assert got == {f"{r}:{i}": (f"{r}:0", 3) for r in "ab" for i in range(3)}
+    assert {r["seed"][0] + r["member"][0] for r in clustering.composition(blocks, by=("record",)).collect()} == {"aa", "bb"}
+    sizes = {r["cluster_id"]: r["members"] for r in clustering.family_rows(spark.createDataFrame([(3, 10)], "cluster_id long, len long")).collect()}
+    assert sizes == {1: 0, 2: 0, 3: 1}
+
+
 def test_mask_comparison(spark):
     rows = [("p", "acGTac", "aCgTa"), ("q", "", ""), ("r", "AAA", "aaa")]
     got = {r["pair"]: r for r in compare.compare_masks(spark.createDataFrame(rows, "pair string, seq1 string, seq2 string")).collect()}

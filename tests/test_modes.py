@@ -132,6 +132,28 @@ def test_arriving_files(spark, folder, tmp_path):
     assert {r["seq_id"].split("#")[0] for r in got.collect()} == {"first.fa", "second.fa"}
 
 
+def test_records_are_grouped_by_themselves(spark, folder, tmp_path):
+    """A folder without a comparative flag: each record's families are its own, and all reports come from one run."""
+    got = cli.run(spark, [folder, str(tmp_path), "-contain"]).collect()
+    for r in range(3):
+        ids = sorted({x["cluster_id"] for x in got if x["seq_id"] == r and x["cluster_id"] > 2})
+        assert ids == list(range(3, 3 + len(ids))) and ids
+    names = {p.name for p in tmp_path.iterdir()}
+    assert {f"g{g}_{i}.{end}" for i, g in enumerate((1, 0, 2), 1) for end in ("gff", "svg", "png")} <= names and not any(n.startswith("_parts") for n in names)
+    svg = (tmp_path / "g0_2.svg").read_text()
+    assert svg.startswith("<svg") and svg.endswith("</svg>\n") and svg.count("stroke-width") == len({(x["start"], x["cluster_id"]) for x in got if x["seq_id"] == 1})
+
+
+def test_pangenome_report(spark, folder, tmp_path):
+    got = cli.run(spark, [folder, str(tmp_path), "-joint", "-contain"]).collect()
+    text = (tmp_path / "pangenome.txt").read_text()
+    assert [line for line in text.split("\n") if line.startswith("==")] == [f"== {t} ==" for t in ("Genomes", "Summary", "Soft core", "Family frequency spectrum", "Per-genome summary", "Pairwise shared families", "Core families", "Genome-specific families")]
+    rows = [line.split("\t") for line in text.split("== Per-genome summary ==\n")[1].split("\n== ")[0].split("\n")]
+    at = rows[0].index("STR")
+    assert sum(int(r[at]) for r in rows[1:] if len(r) > at) == sum(x["cluster_id"] == 1 for x in got)
+    assert "mask" in "".join(p.read_text() for p in (tmp_path / "masked").glob("part-*"))
+
+
 def test_large_files_in_pieces(spark, tmp_path):
     rng = random.Random(4)
     (tmp_path / "fa").mkdir()
