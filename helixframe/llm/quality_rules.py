@@ -39,10 +39,10 @@ WINDOW = 8
 #: Rate in thousandths: (numerator, denominator, slack, least numerator).
 RULES: dict[str, tuple[str, str, int, int]] = {
     "symbols": ("n_symbols", "n_words", 40, 4),
-    "capitals": ("n_capitals", "word_chars", 20, 8),
+    "capitals": ("n_capitals", "word_chars", 40, 8),
     "marks": ("n_marks", "n_words", 40, 4),
     "dup_lines": ("n_dup_lines", "n_lines", 250, 4),
-    "same_words": ("n_same_words", "n_words", 20, 4),
+    "same_words": ("n_same_words", "n_words", 40, 4),
     "repeat_words": ("n_repeat_words", "n_words", 150, 32),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_same_words")
