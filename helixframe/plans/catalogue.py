@@ -442,8 +442,8 @@ def containment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _greedy(scope: str = "0") -> str:
     """taken: seq_id, seed; families: seed, cluster_id. A pass over blocks by falling length, which keeps the list of seeds."""
-    return f"""ord AS (SELECT seq_id, {scope} AS scope, row_number() OVER (ORDER BY -len, record, start) AS rn FROM bseq),
-lk AS (SELECT m.rn AS m, list(s.rn) AS ss FROM edges JOIN ord s ON s.seq_id = seed JOIN ord m ON m.seq_id = member GROUP BY m.rn),
+    return f"""ord AS MATERIALIZED (SELECT seq_id, {scope} AS scope, row_number() OVER (ORDER BY -len, record, start) AS rn FROM bseq),
+lk AS MATERIALIZED (SELECT m.rn AS m, list(s.rn) AS ss FROM edges JOIN ord s ON s.seq_id = seed JOIN ord m ON m.seq_id = member GROUP BY m.rn),
 step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS seeds, 0::BIGINT AS got
   UNION ALL SELECT i + 1, CASE WHEN t IS NULL THEN list_append(seeds, i + 1) ELSE seeds END, coalesce(t, i + 1)
   FROM (SELECT i, seeds, list_min(list_intersect(ss, seeds)) AS t FROM step LEFT JOIN lk ON m = i + 1 WHERE i < (SELECT count(*) FROM ord))),
