@@ -277,8 +277,9 @@ def test_encoders_agree_on_all_characters():
         assert encode(text).tolist() == want.ids
 
 
-def test_merges_by_rank_are_the_files_merges(monkeypatch):
-    assert packing.same_merges(packing.TOKENIZER) and packing.is_exact(packing.TOKENIZER)
+def test_merges_by_rank_are_the_files_merges(spark, monkeypatch):
+    common.send_package(spark)
+    assert packing.same_merges(packing.TOKENIZER) and packing.is_exact(spark, packing.TOKENIZER)
     ranks = packing._ranks(packing.TOKENIZER)
     first, second = sorted(ranks, key=ranks.get)[1000:1002]
     monkeypatch.setattr(packing, "_ranks", lambda name: ranks | {first: ranks[second], second: ranks[first]})
