@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 SOFT_CORE = 0.95
 
 
@@ -41,9 +43,31 @@ def marked(each: DataFrame, genomes: list[str], least_members: int = 2) -> DataF
     return got.where(F.col("total_members") >= least_members).withColumn("category", kind)
 
 
+def from_lists(counted: DataFrame, genomes: list[str], k: int) -> DataFrame:
+    """marked() of k-mers counted(ck, groups, members), where groups are places in genomes; both lists stay."""
+    total = F.aggregate("members", F.lit(0).cast("long"), lambda s, x: s + x)
+    bit = lambda c: F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + F.when(F.floor(g / BITS) == c, F.expr("1L") * F.pow(F.lit(2), g % BITS).cast("long")).otherwise(0)).alias(f"_g{c}")
+    got = counted.select(F.col("ck").alias("family"), F.size("groups").cast("long").alias("frequency"), total.alias("total_members"), (total * k).alias("total_bp"), *[bit(c) for c in range(-(-len(genomes) // BITS) or 1)], "groups", "members")
+    kind = F.when(F.col("frequency") == len(genomes), "core").when(F.col("frequency") == 1, "unique").otherwise("accessory")
+    return got.withColumn("category", kind)
+
+
+def listed(families: DataFrame, genomes: list[str], k: int) -> DataFrame:
+    """genome, family, members, bp, category: a row for each genome that a family of from_lists() is in."""
+    names = F.array(*[F.lit(g) for g in genomes]) if genomes else F.array().cast("array<string>")
+    each = families.select("family", "category", F.explode(F.arrays_zip("groups", "members")).alias("_e"))
+    return each.select(F.get(names, F.col("_e.groups")).alias("genome"), "family", F.col("_e.members").alias("members"), (F.col("_e.members") * k).alias("bp"), "category")
+
+
+def side_by_side(families: DataFrame, genomes: list[str]) -> DataFrame:
+    """matrix() of from_lists(), whose rows have all that is asked for."""
+    wide = [F.coalesce(F.get("members", F.array_position("groups", F.lit(i)).cast("int") - 1), F.lit(0)).alias(g) for i, g in enumerate(genomes)]
+    return families.select("family", "frequency", "total_members", "total_bp", "category", *wide)
+
+
 def bare(families: DataFrame) -> DataFrame:
-    """marked() without its bits."""
-    return families.drop(*[c for c in families.columns if c.startswith("_g")])
+    """marked() without its bits and lists."""
+    return families.drop("groups", "members", *[c for c in families.columns if c.startswith("_g")])
 
 
 def category_totals(families: DataFrame) -> DataFrame:
@@ -64,7 +88,10 @@ def spectrum(families: DataFrame, genomes: int) -> DataFrame:
 
 def genome_summary(present: DataFrame, families: DataFrame) -> DataFrame:
     """For each genome its families by category, and their bases."""
-    with_kind = present.join(families.select("family", "category"), "family")
+    return summed_by_genome(present.join(families.select("family", "category"), "family"))
+
+
+def summed_by_genome(with_kind: DataFrame) -> DataFrame:
     kinds = [F.count(F.when(F.col("category") == c, 1)).alias(c) for c in ("core", "accessory", "unique")]
     return with_kind.groupBy("genome").agg(F.count("*").alias("families"), *kinds, F.sum("bp").cast("long").alias("bp"))
 
@@ -75,7 +102,7 @@ def pairwise(families: DataFrame, genomes: list[str]) -> DataFrame:
     Families of the same genomes are counted together before pairs are made, at most N * N / 2 for each distinct set.
     """
     columns = [c for c in families.columns if c.startswith("_g")]
-    sets = families.groupBy(*columns).agg(F.count("*").alias("_n"))
+    sets = cut(families.groupBy(*columns).agg(F.count("*").alias("_n")))
     has = [F.when(F.col(f"_g{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS))) != 0, F.lit(g)) for i, g in enumerate(genomes)]
     sets = sets.select(F.array_compact(F.array(*has)).alias("_set") if has else F.array().cast("array<string>").alias("_set"), "_n")
     size = sets.select(F.explode("_set").alias("genome"), "_n").groupBy("genome").agg(F.sum("_n").alias("size"))
