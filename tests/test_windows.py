@@ -84,7 +84,7 @@ def test_no_windows_at_all(spark):
         assert not kmers.group_counts(df.select(F.lit(0).alias("group"), "seq"), 19, 1, 0).count()
 
 
-@pytest.mark.parametrize("name", ["genome_summary", "homology_unique", "repeat_blocks_joint", "run_homology", "presence_matrix", "unique_families"])
+@pytest.mark.parametrize("name", ["genome_summary", "homology_unique", "repeat_blocks_joint", "run_homology", "presence_matrix", "unique_families", "family_presence"])
 def test_windows_are_no_rows(spark, name):
     """A window takes few bytes of a shuffle."""
     letters = spark.read.parquet(f"{DATA}/documents.parquet").agg(F.sum(F.length("text"))).head()[0]
