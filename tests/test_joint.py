@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from helixframe.operators import clustering
 from helixframe.plans import modes
 
@@ -86,3 +87,13 @@ def test_links_are_no_rows(spark):
     spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert {(r["cluster_id"], r["type"]) for r in rows} == {(3, "CRP")} and len(rows) == 400
     assert written() - before < 3_000_000
+
+
+@pytest.mark.parametrize(("name", "rows"), [("pangenome_summary", 4)])
+def test_genomes_without_rows_of_links(spark, monkeypatch, name, rows):
+    def refused(*_, **__):
+        raise AssertionError("all links as rows")
+
+    for f in ("containment", "clusters", "cosines"):
+        monkeypatch.setattr(clustering, f, refused)
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() == rows
