@@ -89,7 +89,7 @@ def test_links_are_no_rows(spark):
     assert written() - before < 3_000_000
 
 
-@pytest.mark.parametrize(("name", "rows"), [("pangenome_summary", 4)])
+@pytest.mark.parametrize(("name", "rows"), [("pangenome_summary", 4), ("pangenome_spectrum", 4)])
 def test_genomes_without_rows_of_links(spark, monkeypatch, name, rows):
     def refused(*_, **__):
         raise AssertionError("all links as rows")
