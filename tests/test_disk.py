@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from helixframe.operators import kmers, masking
+from helixframe.operators import kmers, masking, ssr
 from helixframe.plans import runs
 from helixframe.runtime import cut
 
@@ -40,7 +40,7 @@ def test_cut_leaves_no_shuffle(spark):
     assert got.count() == 997 and spark.conf.get(conf, None) == was
 
 
-@pytest.mark.parametrize("name", ["repeat_blocks_joint"])
+@pytest.mark.parametrize("name", ["repeat_blocks_joint", "run_homology"])
 def test_windows_have_left_the_disk(spark, name):
     """Of what has been shuffled, most isn't on disk any more when the result is there."""
     written = lambda: spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
@@ -58,6 +58,22 @@ def test_lengths_from_packs(spark, monkeypatch):
     assert sorted(map(tuple, lengths.collect())) == [(i, len(s)) for i, s in enumerate(seqs) if len(s) >= 7]
 
 
+def test_tandem_repeats_of_records_together(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "CHUNK", 200)
+    rng = random.Random(5)
+    units = ["".join(rng.choice("acgtn") for _ in range(rng.randrange(1, 16))) for _ in range(60)]
+    seqs = ["", "a", "acacac", None, *(u * rng.randrange(1, 12) + rng.choice(["", "gattaca"]) for u in units), "ac" * 400]
+    want = [(i, int(a), int(b - a)) for i, s in enumerate(seqs) for a, b in ssr.tandem_spans(kmers._CODE[np.frombuffer((s or "").encode(), np.uint8)])]
+    got = ssr.ssr_blocks(spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string").repartition(2))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_letters_are_read_once(spark):
+    """A filter on the letters doesn't make them again."""
+    plan = runs._records(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("translate(") == 1
+
+
 def test_blocks_joint_need_no_second_reading(spark):
     df = runs._records(spark, DATA)
     blocks = masking.repeat_blocks(df, 19, 80, shared=True)
