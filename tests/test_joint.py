@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from helixframe.operators import clustering
+from helixframe.operators import clustering, kmers
 from helixframe.plans import modes
 
 FLIP = str.maketrans("acgt", "tgca")
@@ -58,6 +59,35 @@ def test_clusters_over_packs(spark, monkeypatch, k):
     assert len(rows) == len(blocks) and {r["seq_id"]: r["seed"] for r in rows} == taken
 
 
+@pytest.mark.parametrize(("more", "look"), [(0, 0), (0.4, 8), (1, 1000)])
+@pytest.mark.parametrize("leaf", [1, 5, 1000])
+def test_halves_meet_seeds_alone(monkeypatch, more, look, leaf):
+    for name, value in (("MORE", more), ("LOOK", look), ("LEAF", leaf), ("PART", 700), ("AT_ONCE", 60)):
+        monkeypatch.setattr(clustering, name, value)
+    blocks = sorted(made_up(120, 7), key=lambda b: (-b[3], b[1], b[2]))
+    codes = [np.append(kmers._CODE[np.frombuffer(b[4].encode(), np.uint8)], clustering.END) for b in blocks]
+    size = np.array([len(c) for c in codes])
+    by = clustering._Blocks(np.concatenate(codes).astype(np.uint8), np.cumsum(size) - size).clustered(11, 17, 0.5)
+    assert {b[0]: blocks[i][0] for b, i in zip(blocks, by.tolist(), strict=True)} == brute(blocks, 11)[1]
+
+
+def test_taken_blocks_meet_nothing_more(spark, monkeypatch):
+    """Copies that a seed of the first pack has taken are in no later pack's index, and no two packs are counted whole."""
+    def refused(*_, **__):
+        raise AssertionError("all links of two packs")
+
+    monkeypatch.setattr(clustering, "_met", refused)
+    monkeypatch.setattr(clustering, "PACK", 4000)
+    monkeypatch.setattr(clustering, "PART", 1000)
+    jobs, cut = [], clustering.cut
+    monkeypatch.setattr(clustering, "cut", lambda df: jobs.append(df.columns) or cut(df))
+    rng = random.Random(4)
+    s = "".join(rng.choice("acgt") for _ in range(200))
+    df = spark.createDataFrame([(f"{i}:0", i, 0, 200, s) for i in range(100)], "seq_id string, record long, start long, len long, seq string")
+    assert {r["seed"] for r in clustering.contained_clusters(df, 11).collect()} == {"0:0"}
+    assert sum("seeds" in c for c in jobs) == 2
+
+
 def test_no_blocks(spark):
     none = spark.createDataFrame([], "seq_id string, record long, start long, len long, seq string")
     assert not clustering.containment(none, 11).count() and not clustering.contained_clusters(none, 11).count()
