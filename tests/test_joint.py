@@ -71,6 +71,45 @@ def test_halves_meet_seeds_alone(monkeypatch, more, look, leaf):
     assert {b[0]: blocks[i][0] for b, i in zip(blocks, by.tolist(), strict=True)} == brute(blocks, 11)[1]
 
 
+@pytest.mark.parametrize("k", [5, 11, 21])
+def test_places_of_kmers(k):
+    """Each k-mer's blocks, and whether a block is among them, as the plain sets have it."""
+    rng = np.random.default_rng(k)
+    codes = rng.integers(0, 5, 4000).astype(np.uint8)
+    codes[99::100] = clustering.END
+    places = np.arange(0, 4000, 100)
+    x, keys = clustering._Index(codes, places, k, 17), clustering._Sets(codes, places, k, 17)
+    asked = np.unique(np.concatenate((keys.kmer, (keys.kmer + np.uint64(1)) & np.uint64((1 << 2 * k) - 1))))
+    low, high = x.places(asked)
+    blocks = [keys.owner[keys.kmer == q].tolist() for q in asked]
+    assert [x.owner[a:b].tolist() for a, b in zip(low, high, strict=True)] == blocks
+    for block in (0, 7, 39):
+        assert x.have(low, high, np.full(len(asked), block)).tolist() == [block in b for b in blocks]
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 50])
+def test_links_by_slices(monkeypatch, tasks):
+    """Slices of members have all links together, and none where blocks meet too often."""
+    blocks = sorted(made_up(60, 9), key=lambda b: (-b[3], b[1], b[2]))
+    codes = [np.append(kmers._CODE[np.frombuffer(b[4].encode(), np.uint8)], clustering.END) for b in blocks]
+    size = np.array([len(c) for c in codes])
+    all_ = clustering._Blocks(np.concatenate(codes).astype(np.uint8), np.cumsum(size) - size)
+    got = [all_.links(i, tasks, 11, 17, 0.5) for i in range(tasks)]
+    found = [(blocks[s][0], blocks[m][0]) for member, seed in got for m, s in zip(member.tolist(), seed.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) == set(brute(blocks, 11)[0])
+    monkeypatch.setattr(clustering, "OFTEN", 1)
+    assert all_.links(0, 1, 11, 17, 0.5) is None
+
+
+@pytest.mark.parametrize("often", [0, 32])
+def test_seeds_by_links_or_by_halves(spark, monkeypatch, often):
+    for name, value in (("PACK", 900), ("PART", 300), ("AT_ONCE", 50), ("OFTEN", often)):
+        monkeypatch.setattr(clustering, name, value)
+    blocks = made_up(90, 12)
+    df = spark.createDataFrame(blocks, "seq_id string, record long, start long, len long, seq string").repartition(3)
+    assert {r["seq_id"]: r["seed"] for r in clustering.contained_clusters(df, 11).collect()} == brute(blocks, 11)[1]
+
+
 def test_taken_blocks_meet_nothing_more(spark, monkeypatch):
     """Copies that a seed of the first pack has taken are in no later pack's index, and no two packs are counted whole."""
     def refused(*_, **__):
